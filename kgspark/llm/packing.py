@@ -33,6 +33,9 @@ CAPACITY = 2048
 #: Groups in which pieces are numbered, besides one for each length.
 BUCKETS = 4096
 STEPS = 400
+#: How fast prices fall with coverage, and how much more than in proportion the longest piece is worth.
+RATE = 3.0
+BONUS = 0.3
 #: Sequences of a piece of full capacity are numbered from here on.
 FULL = 1 << 50
 
@@ -103,17 +106,17 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[dict[int, int], float]]:
-    """Fractional numbers of configurations that cover every length as often as it occurs."""
+    """Fractional numbers of configurations that cover every length as often as it occurs.  Prices begin a
+    little above proportion for long pieces, which are the hard ones to place, and fall as lengths are covered."""
     need = counts.astype(float)
     covered = np.zeros(len(lengths))
     found: dict[tuple, float] = defaultdict(float)
-    rate = np.log(len(lengths) + 1) + 8.0
-    # prices start in proportion to length: full sequences first, odd rests last
+    base = lengths * (1 + BONUS * lengths / capacity)
     for _ in range(steps):
         share = covered / need
         if share.min() >= 1:
             break
-        prices = np.where(share < 1, lengths * np.exp(-rate * share), 0.0)
+        prices = np.where(share < 1, base * np.exp(-RATE * share), 0.0)
         config = knapsack(prices, lengths, capacity)
         i, a = np.array(list(config)), np.array(list(config.values()), dtype=float)
         grow = max(1.0, float(np.min(need[i] / a)) / 4)
