@@ -36,7 +36,7 @@ def parse_list(text: Column | str) -> Column:
     text = F.trim(col(text))
     inner = F.split(F.regexp_replace(text, r"^\[|\]$", ""), ",")
     good = text.startswith("[") & text.endswith("]")
-    return F.when(good, F.filter(F.transform(inner, F.trim), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(good, F.filter(F.transform(inner, lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def format_list(items: Column | str) -> Column:
