@@ -48,6 +48,9 @@ SAMPLE = 64
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 15
+#: Rows of a bucket up to which all its pairs are looked at, and pairs looked at together.
+SMALL = 512
+PAIRS = 1 << 18
 #: Further words of 64 bits in a wide fingerprint.
 WIDE = 3
 
@@ -104,13 +107,14 @@ def cuts_of(segments: int) -> list[tuple[int, int]]:
 
 
 def choose_exact(n: int, max_bits: int) -> int:
-    """Number of equal segments in a key with the least expected work for n fingerprints."""
+    """Number of equal segments in a key with the least expected work for n fingerprints; two at least, as
+    one segment gives few and large buckets."""
 
     def work(k: int) -> float:
         # filing a row costs about as much as 250 comparisons
         return comb(max_bits + k, k) * n * (250 + n / 2 / 2 ** (64 * k / (max_bits + k)))
 
-    return min((k for k in range(1, 7) if comb(max_bits + k, k) < 1 << 11), key=work)
+    return min((k for k in range(2, 7) if comb(max_bits + k, k) < 1 << 11), key=work)
 
 
 def segment_values(fp: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
@@ -200,11 +204,30 @@ class Ring:
 
     def linked(self, a: Prints, b: Prints, starts) -> np.ndarray:
         out = np.zeros((len(a), len(b)), dtype=bool)
-        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+        i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
         at = self.check(a, i, b, j, starts)
         out[i[at], j[at]] = True
         return out
 
+    def small(self, p: Prints, starts_at: np.ndarray, ends: np.ndarray, starts) -> tuple[np.ndarray, np.ndarray]:
+        """All links of many buckets of one choice, each of at most SMALL rows: their pairs in one array, a
+        bounded number at a time."""
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        sizes = ends - starts_at
+        pairs = np.cumsum(sizes * (sizes - 1) // 2)
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, side="right")))
+            rows = np.concatenate([np.arange(s, e) for s, e in zip(starts_at[at:to].tolist(), ends[at:to].tolist())])
+            after = np.repeat(ends[at:to], sizes[at:to]) - rows - 1  # partners that follow in the bucket
+            i = np.repeat(rows, after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            hit = self.check(p, i, p, j, starts)
+            left.append(i[hit])
+            right.append(j[hit])
+            at = to
+        return np.concatenate(left), np.concatenate(right)
+
     def forest(self, p: Prints, starts) -> tuple[np.ndarray, np.ndarray]:
         """Links that connect what is connected in this bucket: at most one less than its rows."""
         left: list = [np.zeros(0, dtype=np.int64)]
@@ -233,6 +256,23 @@ class Ring:
         return np.concatenate(left), np.concatenate(right)
 
 
+def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of these links a set without circles that connects the same."""
+    parent: dict[int, int] = {}
+    kept = []
+    for n, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        while (x := parent.get(a, a)) != a:
+            parent[a] = parent.get(x, x)
+            a = x
+        while (x := parent.get(b, b)) != b:
+            parent[b] = parent.get(x, x)
+            b = x
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append(n)
+    return left[kept], right[kept]
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -256,15 +296,18 @@ def bucket_links(rows: DataFrame, ring: Ring, by: list[str]) -> DataFrame:
                 change[1:] |= columns[c][1:] != columns[c][:-1]
             starts = np.flatnonzero(change)
             ends = np.r_[starts[1:], len(fp)]
-            # buckets of two are by far the most frequent ones: all at once
-            two = starts[ends - starts == 2]
-            at = ring.check(p, two, p, two + 1, range(len(ring.cuts)))
-            out_a, out_b = [fp[two[at]]], [fp[two[at] + 1]]
-            more = ends - starts > 2
-            for s, e in zip(starts[more].tolist(), ends[more].tolist()):
-                i, j = ring.forest(p[s:e], ring.choices[columns["key"][s] >> KEY_BITS])
-                out_a.append(fp[s:e][i])
-                out_b.append(fp[s:e][j])
+            out_a, out_b = [], []
+            choice = columns["key"][starts] >> KEY_BITS
+            for c in np.unique(choice).tolist():
+                of = choice == c
+                few, many = of & (ends - starts <= SMALL), of & (ends - starts > SMALL)
+                i, j = spanning(*ring.small(p, starts[few], ends[few], ring.choices[c]))
+                out_a.append(fp[i])
+                out_b.append(fp[j])
+                for s, e in zip(starts[many].tolist(), ends[many].tolist()):
+                    i, j = ring.forest(p[s:e], ring.choices[c])
+                    out_a.append(fp[s:e][i])
+                    out_b.append(fp[s:e][j])
             yield arrow_rows(LINKS, a=np.concatenate(out_a), b=np.concatenate(out_b))
 
         def key_at(table, i):
