@@ -74,7 +74,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 6 << 20):
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 3 << 20):
     """Slices of a batch whose texts have about max_bytes together; one row at least in each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     ends = np.cumsum(sizes)

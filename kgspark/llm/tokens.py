@@ -10,7 +10,7 @@ rule that uses this symbol was learnt later, so it has a higher rank.  Hence all
 lowest-ranked pair go before anything their merging makes possible.
 
 Cases: null or empty text: 0 tokens.  A text of special strings only: one token each.  Very long texts and
-words: arrays, no recursion; memory follows the chunk (about 6 MB of text) or the single text.
+words: arrays, no recursion; memory follows the chunk (about 3 MB of text) or the single text.
 Repeated rows: a row each.  Other columns of the input are not read.
 """
 
