@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import entity_type, path_scores
+from kgspark.sources.staging import stage
 
 ENGINES = ("python", "pyg", "networkx", "igraph")
 
@@ -21,13 +22,13 @@ def undirected(triples: DataFrame) -> DataFrame:
 
 def hop_distances(neighbours: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """seeds (test_id, node) -> test_id, node, hops for every node within max_hops, the seeds at 0."""
-    seen = seeds.select("test_id", "node").distinct().withColumn("hops", F.lit(0))
+    seen = stage(seeds.select("test_id", "node").distinct().withColumn("hops", F.lit(0)), "seeds")
     frontier = seen
     for hop in range(1, max_hops + 1):
         step = frontier.join(neighbours, frontier["node"] == neighbours["a"]).select("test_id", F.col("b").alias("node")).distinct()
         frontier = step.join(seen.select("test_id", "node"), ["test_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        if hop < max_hops:
-            frontier = frontier.persist()  # read by the next hop, by its anti-join and by the result
+        # read by the next hop, by its anti-join and by the result: written once, so plans stay short
+        frontier = stage(frontier, "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -137,8 +138,8 @@ def simple_paths(triples: DataFrame, tests: DataFrame, max_length: int, directed
         back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     else:
         links = back = undirected(triples)
-    t = tests.select("test_id", "head", "tail").filter("head <> tail").persist()
-    left = hop_distances(back, t.select("test_id", F.col("tail").alias("node")), max_length - 1).withColumnsRenamed({"node": "b", "hops": "__left"}).persist()
+    t = stage(tests.select("test_id", "head", "tail").filter("head <> tail"), "pairs")
+    left = hop_distances(back, t.select("test_id", F.col("tail").alias("node")), max_length - 1).withColumnsRenamed({"node": "b", "hops": "__left"})
     front = t.select("test_id", "tail", F.col("head").alias("__at"), F.array("head").alias("nodes"))
     found = None
     for n in range(1, max_length + 1):
@@ -146,7 +147,7 @@ def simple_paths(triples: DataFrame, tests: DataFrame, max_length: int, directed
         grown = grown.join(left.filter(F.col("__left") <= max_length - n), ["test_id", "b"]).drop("__left")
         grown = grown.withColumn("nodes", F.concat("nodes", F.array("b"))).withColumnRenamed("b", "__at")
         if n < max_length:
-            grown = grown.persist()  # read by the result and by the next step
+            grown = stage(grown, "paths")  # read by the result and by the next step
         done = grown.filter(F.col("__at") == F.col("tail")).select("test_id", "nodes")
         found = done if found is None else found.unionByName(done)
         front = grown.filter(F.col("__at") != F.col("tail"))
