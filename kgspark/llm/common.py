@@ -1,69 +1,20 @@
-"""What the operators of this subpackage share: tables in the shared folder, chunks of text, hashes."""
+"""What the operators of this subpackage share: chunks of text, words, hashes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: XXH64 seed of Spark's xxhash64, and the constants of the splitmix64 finaliser.
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-_own_dirs: dict[str, str] = {}
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kgspark-")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
+from kgspark.sources.staging import drop_staged, new_path, shared_dir, stage
 
+__all__ = ["chunks", "documents", "drop_staged", "held_out", "new_path", "shared_dir", "stage", "texts_of", "words_of"]
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends here, and a lost
-    executor costs a re-read instead of the work above."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what stage() has written for this session; results that still read it become unusable."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for owner, path in [x for x in _staged if x[0] is spark]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-        _staged.remove((owner, path))
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark in {id(s): s for s, _ in _staged}.values():
-        try:
-            drop_staged(spark)
-        except Exception:  # noqa: BLE001  the session has already been stopped
-            return
-
+#: Constants of the splitmix64 finaliser.
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import ODD, documents, mix, powers, texts_of
+from kgspark.llm.common import ODD, chunks, documents, mix, powers, texts_of
 
 SIGNATURE = 128
 #: Rows of a range of doc_ids, about; and the most ranges, so that their bounds stay small on the driver.
@@ -140,7 +140,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             texts = texts_of(batch).to_pylist()
             out = [[], [], [], [], []]
 
