@@ -57,22 +57,21 @@ def refine(rows: DataFrame, column: str, targets: dict[int, float], tolerance: f
         counted = rows
         if bits:
             counted = rows.filter(F.shiftrightunsigned(column, WIDTH - bits).isin(sorted({p for p, _, _ in open_.values()})))
-        bins = sorted((r["bin"], int(r["bytes"])) for r in counted.groupBy(F.shiftrightunsigned(column, WIDTH - into).alias("bin")).agg(F.sum("size").alias("bytes")).collect())
+        bins = sorted((r["bin"], int(r["bytes"]), r["rows"]) for r in counted.groupBy(F.shiftrightunsigned(column, WIDTH - into).alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
         following = {}
         for s, (prefix, _, below) in open_.items():
-            inside = [(b, n) for b, n in bins if b >> (into - bits) == prefix]
             at, left = None, below
-            for b, n in inside:
+            for b, n, count in (x for x in bins if x[0] >> (into - bits) == prefix):
                 if left + n >= targets[s]:
-                    at = (b, n)
+                    at = (b, n, count)
                     break
                 left += n
             if at is None:  # nothing lies above the target
                 done[s] = ((prefix + 1) << (WIDTH - bits), left, 0)
                 continue
-            b, n = at
+            b, n, count = at
             low, high = targets[s] - left, left + n - targets[s]
-            if min(low, high) <= tolerance:
+            if min(low, high) <= tolerance or count == 1:  # a single row goes to the nearer side
                 done[s] = (b << (WIDTH - into), left, 0) if low <= high else ((b + 1) << (WIDTH - into), left + n, 0)
             elif into == WIDTH:
                 done[s] = (b, left, n)
