@@ -67,9 +67,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 7, alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1, seed: int = 7) -> Model:
-    """l1: by default grows with the sample, from 1 to 8, as gradients do that chance adds up."""
-    l1 = min(8.0, 1 + len(labels) / 1000) if l1 is None else l1
+def train(texts: list[str], labels: list[int], epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, positive: float = 4.0, seed: int = 7) -> Model:
+    """positive: how many times a toxic document counts, as there are far fewer of them."""
     if not len(labels):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0)
     z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
@@ -90,7 +89,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 7, alpha: float = 1
             penalty = np.full(len(x), l1)
             penalty[-1] = 0.0
             w = weights(z[x], n[x], penalty)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[i]
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[i]) * (positive if labels[i] else 1.0)
             sigma = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / alpha
             z[x] += g - sigma * w
             n[x] += g * g
