@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators.filters import degrees
+from kgspark.operators.ranking import running_sums
 
 
 def frequency(df: DataFrame, column: str, total: int | None = None) -> DataFrame:
@@ -61,9 +62,15 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """Interpolated percentiles, a row each."""
-    p = df.agg(F.percentile(value, F.array(*[F.lit(a) for a in at])).alias("p"))
-    return p.select(F.posexplode("p").alias("i", "value")).select(F.element_at(F.array(*[F.lit(a) for a in at]), F.col("i") + 1).alias("share"), F.round("value", 6).alias("value"))
+    """Interpolated percentiles, a row each: from running counts of distinct values, so no task holds them all."""
+    by = running_sums(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")), value, {"__n": "__upto"})
+    shares = F.explode(F.array(*[F.lit(float(a)) for a in at])).alias("share")
+    n = df.agg(F.count(value).alias("__all")).select("__all", shares).withColumn("__at", F.col("share") * (F.col("__all") - 1))
+    wanted = n.select("share", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__i"))
+    # two places for each share: the pair of values that it lies between
+    found = by.join(F.broadcast(wanted), (F.col("__i") < F.col("__upto")) & (F.col("__i") >= F.col("__upto") - F.col("__n")))
+    weight = F.when(F.floor("__at") == F.ceil("__at"), F.lit(1.0)).when(F.col("__i") == F.floor("__at"), F.ceil("__at") - F.col("__at")).otherwise(F.col("__at") - F.floor("__at"))
+    return found.groupBy("share").agg(F.round(F.sum(F.col(value) * weight), 6).alias("value"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

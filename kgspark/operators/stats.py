@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import tests as T
+from kgspark.operators.ranking import running_sums
 
 
 def mad_outliers(rows: DataFrame, group: list[str], value: str, times: float = 3.0) -> DataFrame:
@@ -39,20 +40,22 @@ def two_sample(rows: DataFrame, value: str, flag: str, digits: int = 6) -> DataF
     return out.select(*[F.round(c, digits).alias(c) if not c.startswith("n_") else F.col(c) for c in out.columns])
 
 
-def mann_whitney_u(rows: DataFrame, value: str, flag: str, digits: int = 6) -> DataFrame:
-    """U of the flagged rows from average ranks.  Rows are counted by value first; the running sums are over
-    distinct values."""
+def by_value(rows: DataFrame, value: str, flag: str) -> DataFrame:
+    """Each distinct value with __a and __b, its flagged and other rows, and a and b, those up to it."""
     by = rows.groupBy(value).agg(F.count_if(F.col(flag) == 1).alias("__a"), F.count_if(F.col(flag) != 1).alias("__b"))
-    below = F.coalesce(F.sum("__b").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("__u", F.col("__a") * (below + F.col("__b") / 2.0)).agg(F.sum("__a").alias("n_on"), F.sum("__b").alias("n_off"), F.round(F.sum("__u"), digits).alias("u"))
+    return running_sums(by, value, {"__a": "a", "__b": "b"})
+
+
+def mann_whitney_u(rows: DataFrame, value: str, flag: str, digits: int = 6) -> DataFrame:
+    """U of the flagged rows: other rows below each, ties by half."""
+    u = F.col("__a") * (F.col("b") - F.col("__b") / 2.0)
+    return by_value(rows, value, flag).agg(F.sum("__a").alias("n_on"), F.sum("__b").alias("n_off"), F.round(F.sum(u), digits).alias("u"))
 
 
 def ks_statistic(rows: DataFrame, value: str, flag: str, digits: int = 6) -> DataFrame:
     """Greatest distance of the two empirical distributions."""
-    by = rows.groupBy(value).agg(F.count_if(F.col(flag) == 1).alias("__a"), F.count_if(F.col(flag) != 1).alias("__b"))
-    run, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.try_divide(F.sum("__a").over(run), F.sum("__a").over(whole)) - F.try_divide(F.sum("__b").over(run), F.sum("__b").over(whole)))
-    return by.withColumn("__d", gap).agg(F.round(F.max("__d"), digits).alias("ks"))
+    gap = F.abs(F.try_divide("a", "a_total") - F.try_divide("b", "b_total"))
+    return by_value(rows, value, flag).agg(F.round(F.max(gap), digits).alias("ks"))
 
 
 REPORT = "group string, n_on long, n_off long, shapiro_on double, shapiro_on_p double, shapiro_off double, shapiro_off_p double, levene double, levene_p double, t double, t_p double, welch boolean, u double, u_p double, ks double, ks_p double, cohens_d double, effect string, dip double, dip_tail double"

@@ -129,6 +129,16 @@ def test_global_rank_over_ranges(spark):
         assert keys == sorted(keys, reverse=descending)
 
 
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.permutation(700).tolist()
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long")
+    for descending in (False, True):
+        got = ranking.running_sums(df, "k", {"v": "s"}, descending=descending, task_rows=60).collect()
+        for r in got:
+            assert r["s"] == sum(k % 7 for k in range(700) if (k >= r["k"] if descending else k <= r["k"])) and r["s_total"] == sum(k % 7 for k in range(700))
+
+
 def test_influence_is_the_gradients_product(spark):
     """Against finite differences of the loss of one linear layer."""
     rng = np.random.default_rng(0)
