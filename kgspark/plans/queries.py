@@ -839,3 +839,85 @@ def distribution_report(v):
 @query()
 def permutation_test(v):
     return stats.permutation_test(annotated(v), "test_id", "TracInScore", "In_path")
+
+
+# ---- the rest ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT curie, CASE split_part(curie, ':', 1) WHEN 'C' THEN 'C' WHEN 'NCIT' THEN 'NC' WHEN 'REACT' THEN 'RE' WHEN 'CAID' THEN 'CA' ELSE LEFT(split_part(curie, ':', 1), 2) END AS type, replace(replace(replace(curie, ':', '_'), '/', '_'), ' ', '_') AS file_name FROM (SELECT subject AS curie FROM edges UNION SELECT object FROM edges) x", "edges")
+def curie_types(v):
+    c = v("edges").select(F.explode(F.array("subject", "object")).alias("curie")).distinct()
+    return c.select("curie", X.entity_type("curie").alias("type"), X.sanitize_name("curie").alias("file_name"))
+
+
+@query("SELECT path_id, CAST(COUNT(DISTINCT node) AS INT) AS nodes, MIN(node) AS first FROM members GROUP BY path_id", "members")
+def parsed_lists(v):
+    text = v("members").groupBy("path_id").agg(X.format_list(F.collect_set("node")).alias("t"))
+    nodes = X.parse_list("t")
+    return text.select("path_id", F.size(nodes).alias("nodes"), F.element_at(nodes, 1).alias("first"))
+
+
+@query("SELECT head, tail, score FROM scores WHERE score > 84 AND head LIKE '%1%' AND TRIM(tail) <> ''", "scores")
+def plain_filters(v):
+    return v("scores").filter((F.col("score") > 84) & F.col("head").contains("1") & (F.trim("tail") != "")).na.drop(subset=["score"]).select("head", "tail", "score")
+
+
+@query("SELECT test_id, head, relation, tail FROM tests ORDER BY test_id LIMIT 10 OFFSET 5", "tests")
+def test_page(v):
+    from kgspark.operators.adapters import page
+
+    return page(v("tests").select("test_id", "head", "relation", "tail"), 5, 10, "test_id")
+
+
+@query("SELECT head, tail, score, 'high' AS band FROM scores WHERE score >= 60 UNION ALL SELECT head, tail, score, 'low' FROM scores WHERE score < 40", "scores")
+def tagged_union(v):
+    from kgspark.operators.adapters import tagged_union as union
+
+    s = v("scores").select("head", "tail", "score")
+    return union({"high": s.filter("score >= 60"), "low": s.filter("score < 40")}, "band")
+
+
+@query("SELECT n.id, n.name, COALESCE(a.score, b.score) AS score FROM (SELECT 'K:' || split_part(id, ':', 2) AS id, 'K:' || CAST(LENGTH(id) AS VARCHAR) AS name FROM nodes) n LEFT JOIN (SELECT tail, MAX(score) AS score FROM scores GROUP BY tail) a ON a.tail = n.id LEFT JOIN (SELECT tail, MAX(score) AS score FROM scores GROUP BY tail) b ON b.tail = n.name", "nodes", "scores")
+def score_lookup(v):
+    """Scores by identifier, or else by name."""
+    best = v("scores").groupBy("tail").agg(F.max("score").alias("score"))
+    n = v("nodes").select(F.concat(F.lit("K:"), F.split_part("id", F.lit(":"), F.lit(2))).alias("id"), F.concat(F.lit("K:"), F.length("id").cast("string")).alias("name"))
+    a = best.select(F.col("tail").alias("id"), F.col("score").alias("__a"))
+    b = best.select(F.col("tail").alias("name"), F.col("score").alias("__b"))
+    return n.join(a, "id", "left").join(b, "name", "left").select("id", "name", F.coalesce("__a", "__b").alias("score"))
+
+
+FEATURES_SQL = "[CAST(LENGTH({0}.head) AS DOUBLE), CAST(LENGTH({0}.tail) AS DOUBLE)]"
+
+
+@query(filter_sql("pyg").replace("SELECT test_id, head, relation, tail FROM kept", "SELECT k.test_id, k.head AS TrainHead, k.relation AS TrainRel_label, k.tail AS TrainTail, ROUND(0.001 * (CAST(LENGTH(k.relation) AS DOUBLE) * LENGTH(t.relation) + 1) * (1 + CAST(LENGTH(k.head) AS DOUBLE) * LENGTH(t.head) + CAST(LENGTH(k.tail) AS DOUBLE) * LENGTH(t.tail)), 9) AS TracInScore, ROUND(0.001 * (CAST(LENGTH(t.relation) AS DOUBLE) * LENGTH(t.relation) + 1) * (1 + CAST(LENGTH(t.head) AS DOUBLE) * LENGTH(t.head) + CAST(LENGTH(t.tail) AS DOUBLE) * LENGTH(t.tail)), 9) AS SelfInfluence FROM kept k JOIN tests t ON t.test_id = k.test_id"), "triples", "tests")
+def explain_tests(v):
+    """Filter, influence and self influence in one plan; lengths of names stand in for learned features."""
+    from kgspark.plans.pipeline import explain
+
+    t = v("triples").distinct()
+    number = lambda c: F.length(c).cast("double")
+    features = t.select("*", F.array(number("head"), number("tail")).alias("x"), F.array(number("relation"), F.lit(1.0)).alias("delta"))
+    return explain(v("triples"), v("tests"), features).select("test_id", "TrainHead", "TrainRel_label", "TrainTail", "TracInScore", "SelfInfluence")
+
+
+def projected(e: DataFrame) -> DataFrame:
+    return influence.project(e.select("id", "vector"), "vector", 16)
+
+
+QUERIES["random_projection"] = vectors(projected)
+
+
+def conv_scored(e: DataFrame) -> DataFrame:
+    """Scores of the convolutional forward pass over the candidate pairs, with weights drawn from a seed."""
+    import numpy as np
+
+    n = e.agg(F.max("id")).first()[0] + 1
+    rng = np.random.default_rng(5)
+    w = {"entities": rng.normal(size=(n, 8)), "relations": rng.normal(size=(10, 8)), "conv": rng.normal(size=(4, 1, 2, 2)), "conv_bias": rng.normal(size=4)}
+    w |= {"fc": rng.normal(size=(4 * 3 * 3, 8)), "fc_bias": rng.normal(size=8)} | {f"{b}_{k}": np.ones(s) if k == "scale" else np.zeros(s) for b, s in (("bn0", 1), ("bn1", 4), ("bn2", 8)) for k in ("scale", "shift")}
+    pairs = pairs_of(e).join(e.select(F.col("id").alias("head"), F.col("label").cast("long").alias("r")), "head")
+    return score.conv_scores(pairs.select(F.col("head").alias("h"), "r", F.col("tail").alias("t")), score.ConvScorer(w, 4, 2))
+
+
+QUERIES["conv_scores"] = vectors(conv_scored)
