@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-Method: every word, every pair of neighbouring words and every run of 3 or 4 code points of a word (with
-its ends marked) has a learned vector, found by hash.  A document is the mean of its vectors; a softmax
+Method: every word, every pair of neighbouring words (all pairs of a word with itself are one) and every
+run of 3 or 4 code points of a word (with its ends marked) has a learned vector, found by hash.  A document is the mean of its vectors; a softmax
 layer gives the probability of label 1.  Trained by numpy stochastic gradient descent.  Since a mean and
 a softmax layer for two labels are linear up to the last step, the trained model is folded into one
 number for each hash before it is sent to executors (FEATURES floats: 1 MB, whatever the input).
@@ -29,6 +29,8 @@ FEATURES = 1 << 18
 DIMENSIONS = 8
 RUNS = (3, 4)
 MAX_ROWS = 4000
+#: The feature that all pairs of one word with itself share.
+REPEAT = 0
 THRESHOLD = 0.3
 
 
@@ -72,7 +74,7 @@ class Text:
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         h = hash_words(words)[word] if words else np.zeros(0, dtype=np.uint64)
         same = row[:-1] == row[1:]
-        pair = fold(mix(h[:-1] * MIX[0] + h[1:]))[same] if len(h) else np.zeros(0, dtype=np.int64)
+        pair = np.where(word[:-1] == word[1:], REPEAT, fold(mix(h[:-1] * MIX[0] + h[1:])))[same]
         return cls(words, word, row, pair, row[:-1][same], len(texts))
 
 
