@@ -60,6 +60,8 @@ def ks_statistic(rows: DataFrame, value: str, flag: str, digits: int = 6) -> Dat
 
 REPORT = "group string, n_on long, n_off long, shapiro_on double, shapiro_on_p double, shapiro_off double, shapiro_off_p double, levene double, levene_p double, t double, t_p double, welch boolean, u double, u_p double, ks double, ks_p double, cohens_d double, effect string, dip double, dip_tail double"
 MOST_NORMALITY = 5000
+#: Rows whose flags permutation_test() shuffles: 17 bytes each in every task.
+MOST_PERMUTED = 5_000_000
 
 
 def distribution_report(rows: DataFrame, group: str, value: str, flag: str) -> DataFrame:
@@ -94,9 +96,11 @@ def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutat
     """Do flagged rows score higher than chance would have it?  The flag is shuffled over all rows; the
     differences of means and medians are two-sided, U, mean reciprocal rank and average precision one-sided.
 
-    Permutations are dealt over tasks; each works on counts by score, so the rows themselves are gathered
-    only as (score, test) arrays of the annotated result being tested."""
+    Permutations are dealt over tasks, and each needs all (score, test, flag) rows of the result being tested: they
+    are broadcast as arrays, at most MOST_PERMUTED of them; larger results are to be tested in parts."""
     spark = rows.sparkSession
+    if rows.limit(MOST_PERMUTED + 1).count() > MOST_PERMUTED:
+        raise ValueError(f"more than {MOST_PERMUTED} rows; test the result in parts")
     local = rows.select(F.col(test).cast("string").alias("test"), F.col(value).cast("double").alias("value"), F.col(flag).cast("int").alias("flag")).orderBy("test", "value", "flag").toPandas()
     codes = local["test"].astype("category").cat.codes.to_numpy()
     sent = spark.sparkContext.broadcast((codes, local["value"].to_numpy(), local["flag"].to_numpy()))
