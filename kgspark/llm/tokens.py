@@ -34,7 +34,7 @@ LIMIT = 2048
 REMEMBERED = 300_000
 
 #: Unicode White_Space, as the tokenizer's \s has it (str.split() also splits at 1C-1F).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPLIT = regex.compile(f"[{WHITE_SPACE}]+")
 
@@ -132,7 +132,7 @@ class Counter:
         owner, tokens = [], []
         for i, w in enumerate(words):
             if not w.isascii():
-                w = unicodedata.normalize("NFC", w).replace("Σ", "σ")
+                w = unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3")  # lower() would make it final by context
             for piece in self.cut.findall(w.lower()):
                 owner.append(i)
                 tokens.append(piece.encode("utf-8", "surrogatepass"))
