@@ -42,7 +42,7 @@ MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
 #: Rows of a bucket from which it is dealt to several tasks.
-SPLIT = 100_000
+SPLIT = 20_000
 #: Share of fingerprints by which such buckets are found: one in SAMPLE.
 SAMPLE = 64
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -233,21 +233,28 @@ class Ring:
         left: list = [np.zeros(0, dtype=np.int64)]
         right: list = [np.zeros(0, dtype=np.int64)]
         lonely = np.ones(len(p), dtype=bool)
-        # first drop what has no neighbour at all, block by block
-        for at in range(0, len(p), 256):
-            block = np.arange(at, min(at + 256, len(p)))
+
+        def rows_against(n: int) -> int:
+            return max(1, min(256, 4 * PAIRS // max(n, 1)))
+
+        # first drop what has no neighbour at all, block by block; who is known to have one is not asked again,
+        # so the others are compared with all rows and not only with later ones
+        blocks = range(0, len(p), rows_against(len(p)))
+        for at in blocks:
+            block = np.arange(at, min(at + blocks.step, len(p)))
             block = block[lonely[block]]
             if len(block):
-                m = self.linked(p[block], p[at:], starts)
-                m[np.arange(len(block)), block - at] = False
+                m = self.linked(p[block], p, starts)
+                m[np.arange(len(block)), block] = False
                 lonely[block] &= ~m.any(axis=1)
-                lonely[at:] &= ~m.any(axis=0)
+                lonely &= ~m.any(axis=0)
         # then grow components; what is reached is not compared with each other
         rest = np.flatnonzero(~lonely)
         while len(rest):
             front, rest = rest[:1], rest[1:]
             while len(front) and len(rest):
-                block, front = front[:256], front[256:]
+                n = rows_against(len(rest))
+                block, front = front[:n], front[n:]
                 m = self.linked(p[block], p[rest], starts)
                 hit = m.any(axis=0)
                 left.append(block[np.argmax(m[:, hit], axis=0)])

@@ -82,7 +82,9 @@ def test_links_connect_what_is_near(spark, monkeypatch, max_bits, k, split):
     assert {p: roots.get(p, p) for p in signed} == want
 
 
-def test_both_bucket_searches_agree():
+@pytest.mark.parametrize("pairs", [1 << 18, 300])
+def test_both_bucket_searches_agree(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(2)
     p = np.array(groups_of(rng, 300), dtype=np.uint64)
     p = (p & ~np.uint64(0xFFFFF)) | np.uint64(77)  # equal in the first segments
