@@ -22,6 +22,9 @@ Cases: no words (null, empty, blank): fingerprint 0, linked like any other.  Few
 the whole sequence is the one shingle.  Null doc_id: such a document takes part; component_id is the
 smallest doc_id that is not null, or null if there is none.  Repeated rows: a row each.  Very long texts:
 hashed in blocks, so memory is bounded by the text itself.
+
+Deduplication (deduplicate()) keeps one document of each group of similar sets of shingles.  There, candidates meet in the
+bands of a MinHash and each link is decided by the exact similarity of the two sets.
 """
 
 from __future__ import annotations
@@ -399,15 +402,132 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return prints.join(named, prints["fp"] == named["__fp"]).select("doc_id", "key", "fp", "component_id", "root")
 
 
-#: For a stage that keeps one document of each group: five-word shingles and a similarity of 0.8.  At that
-#: similarity 64 bits differ by 9.7 on average, and 256 bits by 38.8, with a spread of 5.7.
-SIMILAR = {"shingle": 5, "max_bits": 11, "similarity": 0.75, "wide_bits": 44}
+#: For a stage that keeps one document of each group: the shingles of a set and the least Jaccard similarity.
+SIMILAR = {"shingle": 5, "similarity": 0.8}
+#: Bands of a MinHash and values in each: a pair of similarity 0.8 shares a band in all but 5 of 100,000 cases.
+BANDS = 25
+ROWS = 5
+#: Members of a bucket that a task compares with as many others.
+MEMBERS = 1024
+
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+SKETCHES_DDL = "doc_id long, key long, fp long, size int, bands array<long>"
+_N = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+_TIMES, _PLUS = (mix(_N * ODD) | np.uint64(1))[:, None], mix(_N * ODD + ODD)[:, None]
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band; two sets share a band's with the chance of their similarity to the power of ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
+    values = mix(least + _N).reshape(BANDS, ROWS)
+    return mix((values * _TIMES[:ROWS, 0]).sum(axis=1, dtype=np.uint64) + _N[:BANDS])
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, key (a hash of the text), fp (a hash of the set of shingles), size (of that set) and bands."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(part).cast(pa.large_binary()).to_pylist()]
+                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], dtype=np.uint64)
+                bands = [band_keys(h).view(np.int64) if len(h) else [] for h in sets]
+                yield arrow_rows(SKETCHES, doc_id=part.column("doc_id"), key=part.column("key"), fp=fp.view(np.int64), size=np.array([len(h) for h in sets], dtype=np.int32), bands=bands)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, SKETCHES_DDL)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp, text -> fp, items (the set of shingles)."""
+    schema = pa.schema([("fp", pa.int64()), ("items", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts_of(part).cast(pa.large_binary()).to_pylist()]
+                yield arrow_rows(schema, fp=part.column("fp"), items=sets)
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, items array<long>")
+
+
+def links_across(table: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links between members (fp, root, half, items) of different roots; if there are two halves, one end in
+    each.  What a link has connected is not compared again."""
+    fp, half = table.column("fp").to_numpy(), table.column("half").to_numpy()
+    _, group = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    items = table.column("items").combine_chunks()
+    starts = items.offsets.to_numpy() - items.offsets[0].as_py()
+    words, codes = np.unique(items.flatten().to_numpy(), return_inverse=True)
+    sizes = np.diff(starts)
+    two = half.min() != half.max()
+    a, b = [], []
+    for i in range(len(fp)):
+        able = (group != group[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        able &= half > half[i] if two else np.arange(len(fp)) > i
+        if not able.any():
+            continue
+        mark = np.zeros(len(words), dtype=np.int64)
+        mark[codes[starts[i] : starts[i + 1]]] = 1
+        both = np.add.reduceat(mark[codes], starts[:-1])
+        for j in np.flatnonzero(able & (both >= similarity * (sizes + sizes[i] - both))).tolist():
+            if group[i] != group[j]:
+                a.append(fp[i])
+                b.append(fp[j])
+                group[group == group[j]] = group[i]
+    return arrow_rows(LINKS, a=np.array(a, dtype=np.int64), b=np.array(b, dtype=np.int64))
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, key, root of every document; one root for what is linked by a Jaccard similarity of the sets of shingles.
+
+    Sets that share a band meet in a bucket.  All members of a bucket are compared with two of them first; only in
+    buckets that this leaves in several components are all members of different components compared, too.  Every link is
+    decided on the sets themselves."""
+    prints = stage(sketches(docs, shingle), "sketches")
+    each = stage(prints.groupBy("fp").agg(F.max("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    filed = each.select("fp", "size", F.explode("bands").alias("bucket"))
+    one = F.struct("fp", "size")
+    buckets = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high"), F.bit_xor(F.xxhash64("fp")).alias("mark")).filter("n > 1")
+    # buckets with the same members count once
+    buckets = buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
+    members = stage(filed.join(buckets, "bucket"), "members")
+
+    reps = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("r"))
+    reps = reps.select("fp", F.col("r.doc_id").alias("__doc"), F.col("r.key").alias("__key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
+    texts = texts.join(reps, texts["doc"].eqNullSafe(F.col("__doc")) & (texts["key"] == F.col("__key"))).groupBy("fp").agg(F.first("text").alias("text"))
+    sets = stage(shingle_sets(texts, shingle), "sets")
+
+    near = F.least("size", "other.size") >= similarity * F.greatest("size", "other.size")
+    pairs = members.select("fp", "size", F.explode(F.array("low", "high")).alias("other")).filter((F.col("fp") != F.col("other.fp")) & near)
+    pairs = pairs.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    first = stage(pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+    # up to three members: the two have been compared with all
+    rest = members.filter("n > 3").join(components(first), F.col("fp") == F.col("node"), "left").select("bucket", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("bucket")
+    rest = rest.join(mixed, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", "fp", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "fp")
+    rest = rest.select("bucket", "i", "j", "fp", "root", F.col("own").alias("half"), "items")
+
+    def solve(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([links_across(table, similarity)])
+
+    more = stage(rest.groupBy("bucket", "i", "j").applyInArrow(solve, "a long, b long"), "links")
+    roots = first if more.isEmpty() else first.union(more)
+    return prints.join(components(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest doc_id (nulls last; among
     equal ones the smallest text hash).  Of repeated rows one stays."""
-    found = stage(near_duplicates(docs, **(SIMILAR | options)), "groups")
+    found = stage(similar_groups(docs, **(SIMILAR | options)), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", "key")
     kept = found.groupBy("root").agg(F.min(order).alias("__k")).select(F.col("__k.doc_id").alias("__doc"), F.col("__k.key").alias("__key"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))

@@ -135,3 +135,49 @@ def test_stage_keeps_one_of_each_group(odd, local):
     assert ids[None] == 1  # "no id here" stays
     alone = [r["doc_id"] for r in local if r["text"] and r["doc_id"] is not None and r["doc_id"] < 120 and len(r["text"].split()) > 20]
     assert all(ids[i] == 1 for i in alone)
+
+
+def lone_pairs(rng, n, size, similarity):
+    """Pairs of sets of about this size and similarity."""
+    for _ in range(n):
+        both = round(2 * size * similarity / (1 + similarity))
+        h = rng.integers(0, 2**64, 2 * size - both, dtype=np.uint64)
+        yield h[:size], np.r_[h[:both], h[size:]]
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_lone_pairs_of_the_limit_meet(size):
+    rng = np.random.default_rng(size)
+    assert all((simhash.band_keys(a) == simhash.band_keys(b)).any() for a, b in lone_pairs(rng, 1000, size, 0.82))
+
+
+def test_stage_is_exact(spark):
+    """Lone pairs on both sides of the limit: all of 0.8 and more are one group, none below is."""
+    rng, rows, want = np.random.default_rng(8), [], set()
+    for n in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 64)]
+        other = words[: (at := 64 - int(rng.integers(1, 16)))] + [f"v{x}" for x in rng.integers(0, 10**9, 64 - at)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        both = at - 4
+        want |= {2 * n} if both >= 0.8 * (120 - both) else {2 * n, 2 * n + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
+
+
+@pytest.mark.parametrize("members", [1024, 8])
+def test_stage_follows_chains(spark, monkeypatch, members):
+    """A chain whose ends don't resemble each other, and strangers who share most of it, by brute force."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng, rows = np.random.default_rng(9), []
+    base = [f"w{x}" for x in range(80)]
+    for n in range(90):
+        words = list(base if n % 3 else rows[int(rng.integers(0, len(rows)))][1].split() if rows else base)
+        for at in rng.integers(0, 80, int(rng.integers(1, 4))).tolist():
+            words[at] = f"v{n}x{at}"
+        rows.append((n, " ".join(words)))
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
+    near = lambda a, b: len(sets[a[0]] & sets[b[0]]) >= 0.8 * len(sets[a[0]] | sets[b[0]])
+    want = {min(d for d, _ in g) for g in brute_components(rows, near)}
+    assert 1 < len(want) < 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
