@@ -62,16 +62,31 @@ def byte_bpe(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def library(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+def token_ids(vocabulary: str, text: str) -> np.ndarray:
+    """The text's ids.  tiktoken's pattern gives up on runs of about a million white space characters; such texts
+    are encoded by tokenizers itself."""
+    try:
+        return byte_bpe(vocabulary).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokens of every text and a closing 0, cut from the end into pieces of the capacity."""
 
     def run(batches):
-        bpe = byte_bpe(vocabulary)
         for batch in batches:
             for part in chunks(batch, "text"):
                 out = [[] for _ in PIECES]
                 for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part).to_pylist()):
-                    ids = np.append(bpe.encode_to_numpy(text, allowed_special="all"), np.uint32(0)).astype("<u4")
+                    ids = np.append(token_ids(vocabulary, text), np.uint32(0)).astype("<u4")
                     first = len(ids) % capacity or capacity
                     for n, (a, b) in enumerate(zip(range(first - capacity, len(ids), capacity), range(first, len(ids) + 1, capacity))):
                         a = max(a, 0)

@@ -29,6 +29,16 @@ def test_ids_of_any_text(text):
     assert list(packing.byte_bpe(PATH).encode_to_numpy(text, allowed_special="all")) == list(ids_of(text)[:-1])
 
 
+def test_long_white_space(spark):
+    """Runs on which tiktoken gives up."""
+    texts = ["some words" + " " * 1_100_000 + "after <|endoftext|>", "\n" * 1_000_001]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    for n, text in enumerate(texts):
+        ids, got = ids_of(text), sorted((r for r in rows if r["doc_id"] == n), key=lambda r: r["start"])
+        assert sum(r["length"] for r in got) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in got)
+
+
 def check_places(rows, capacity):
     by = defaultdict(list)
     for r in rows:
