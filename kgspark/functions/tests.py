@@ -125,6 +125,45 @@ def shapiro_francia(x: np.ndarray) -> tuple[float, float]:
     return w, normal_sf((math.log(max(1 - w, 1e-300)) - mu) / sigma)
 
 
+def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
+    """Normality by Shapiro and Wilk's W, weights and p by Royston's 1995 approximation (AS R94)."""
+    n = len(x)
+    if n < 3 or np.ptp(x) == 0:
+        return float("nan"), float("nan")
+
+    def poly(c: list[float], at: float) -> float:
+        return sum(k * at**i for i, k in enumerate(c))
+
+    m = normal_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    total, r = float((m * m).sum()), 1 / math.sqrt(n)
+    a = m.copy()
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        last = [m[-1] / math.sqrt(total) + poly([0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], r)]
+        if n > 5:
+            last.append(m[-2] / math.sqrt(total) + poly([0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], r))
+        k = len(last)
+        a /= math.sqrt((total - 2 * float((m[-k:] ** 2).sum())) / (1 - 2 * sum(v * v for v in last)))
+        for i, v in enumerate(last):
+            a[-1 - i], a[i] = v, -v
+    x = np.sort(np.asarray(x, dtype=float))
+    d = x - x.mean()
+    w = min(1.0, float((a @ d) ** 2 / (d @ d)))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        gamma = poly([-2.273, 0.459], n)
+        if y >= gamma:
+            return w, 1e-99
+        y, mu, sigma = -math.log(gamma - y), poly([0.544, -0.39978, 0.025054, -6.714e-4], n), math.exp(poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
+    else:
+        u = math.log(n)
+        mu, sigma = poly([-1.5861, -0.31082, -0.083751, 0.0038915], u), math.exp(poly([-0.4803, -0.082676, 0.0030302], u))
+    return w, normal_sf((y - mu) / sigma)
+
+
 def dip(x: np.ndarray) -> float:
     """Hartigan's dip: half the least greatest distance between the empirical distribution and a unimodal one, found
     by trying each mode interval between the greatest convex minorant and the least concave majorant."""

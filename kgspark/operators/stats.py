@@ -77,7 +77,7 @@ def distribution_report(rows: DataFrame, group: str, value: str, flag: str) -> D
         tail = x[x >= np.quantile(x, 0.75)] if len(x) else x
         out["dip_tail"] = T.dip(tail) if len(tail) >= 10 else nan
         some = [a[np.linspace(0, len(a) - 1, min(len(a), MOST_NORMALITY)).astype(int)] if len(a) else a for a in (on, off)]
-        (out["shapiro_on"], out["shapiro_on_p"]), (out["shapiro_off"], out["shapiro_off_p"]) = (T.shapiro_francia(a) if len(a) else (nan, nan) for a in some)
+        (out["shapiro_on"], out["shapiro_on_p"]), (out["shapiro_off"], out["shapiro_off_p"]) = (T.shapiro_wilk(a) if len(a) else (nan, nan) for a in some)
         if len(on) >= 2 and len(off) >= 2:
             out["levene"], out["levene_p"] = T.levene(on, off)
             out["welch"] = bool(out["levene_p"] <= 0.05)

@@ -266,6 +266,19 @@ def test_distributions():
     assert tests.levene(rng.normal(size=100), 5 * rng.normal(size=100))[1] < 0.01
 
 
+def test_shapiro_wilk(spark):
+    """Published values: Royston's weights (n = 11) and two samples of 20."""
+    x = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    y = [0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75, 0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66]
+    z = [1.36, 1.14, 2.92, 2.55, 1.46, 1.06, 5.27, -1.11, 3.48, 1.10, 0.88, -0.51, 1.46, 0.52, 6.20, 1.69, 0.08, 3.67, 2.81, 3.49]
+    assert tests.shapiro_wilk(np.array(x, dtype=float)) == pytest.approx((0.79, 0.0067), abs=0.005)
+    assert tests.shapiro_wilk(np.array(y)) == pytest.approx((0.900473, 0.04209), abs=1e-4)
+    assert tests.shapiro_wilk(np.array(z)) == pytest.approx((0.959027, 0.5246), abs=1e-4)
+    rows = spark.createDataFrame([("g", v, 1) for v in y] + [("g", v, 0) for v in z], "g string, v double, f int")
+    got = stats.distribution_report(rows, "g", "v", "f").first()
+    assert (got["shapiro_on"], got["shapiro_off"]) == pytest.approx((0.900473, 0.959027), abs=1e-4)
+
+
 def test_permutation_finds_a_difference(spark):
     rng = np.random.default_rng(1)
     rows = [(f"t{i % 5}", float(rng.normal() + 2 * (i % 4 == 0)), int(i % 4 == 0)) for i in range(200)]
