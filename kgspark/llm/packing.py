@@ -3,8 +3,9 @@
 Method: a configuration linear program over the length histogram (a configuration is a multiset of
 lengths that fits one sequence; every length must be covered as often as it occurs).  It is solved by
 multiplicative weights: a length's price falls as it is covered, a knapsack dynamic program over the
-prices finds the best configuration of each step.  The solution is scaled to feasibility and rounded
-down; what rounding leaves is placed by best fit over the same histogram.
+prices finds the best configuration of each step, for STEPS steps at most, which need not cover every
+length.  The solution is rounded down; what that leaves, with many lengths most pieces, is placed by best
+fit over the same histogram.
 
 Only the histogram (at most `capacity` numbers) and bucket counts (at most BUCKETS + capacity numbers)
 reach the driver.  Pieces are numbered inside (length, bucket) groups, whose number is bounded and whose
