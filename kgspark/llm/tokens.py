@@ -5,19 +5,22 @@ ragged numpy array of symbol ids; in each round every pre-token finds its lowest
 and merges all occurrences of that pair at once (left to right, without overlap).  Rounds end when no
 pre-token has a pair with a rank; the surviving symbols are the tokens.
 
+Normal form and pre-tokens are those of the vocabulary file's own normaliser and pre-tokenizer, run by the
+library over all new words of a chunk at once, so they follow its Unicode tables; merging is done here.
+
 Why this equals merging one pair at a time: a merge makes a symbol that did not exist before, and every
 rule that uses this symbol was learnt later, so it has a higher rank.  Hence all occurrences of the
 lowest-ranked pair go before anything their merging makes possible.
 
 Cases: null or empty text: 0 tokens.  A text of special strings only: one token each.  Very long texts and
 words: arrays, no recursion; memory follows the chunk (about 3 MB of text) or the single text.
-Repeated rows: a row each.  Other columns of the input are not read.
+Repeated rows: a row each.  Null doc_id: a row like any other.  Ties: there are none, as texts are counted one by one.
+Empty table: no rows.  Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kgspark.llm.common import arrow_rows, chunks, documents, texts_of
 
@@ -91,13 +95,19 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
-        (cut,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.cut = regex.compile(cut)
+        self.library = Tokenizer.from_file(path)
+        end = model["end_of_word_suffix"] or ""
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("special strings that depend on what is beside them")
+        # of two special strings that begin at one place the longer one is meant
+        names = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         letters = byte_letters()
-        self.plain = np.array([vocab[c] for c in letters], dtype=np.int64)
-        self.last = np.array([vocab[c + self.end] for c in letters], dtype=np.int64)
+        self.plain = np.zeros(max(map(ord, letters)) + 1, dtype=np.int64)
+        self.last = self.plain.copy()
+        for c in letters:
+            self.plain[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + end]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.pairs = PairRanks(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
         self.known: dict[str, int] = {}
@@ -109,7 +119,7 @@ class Counter:
         specials = np.zeros(len(texts), dtype=np.int64)
         rows = []
         for i, t in enumerate(texts):
-            if self.special is not None and "<|" in t:
+            if self.special is not None and self.special.search(t):
                 parts = self.special.split(t)
                 specials[i] = len(parts) - 1
                 rows.append([w for p in parts for w in self.words(p)])
@@ -127,25 +137,23 @@ class Counter:
         return specials + np.array([sum(map(known.__getitem__, r)) for r in rows], dtype=np.int64)
 
     def count_words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each word.  Normal form and lower case never reach over white space."""
+        """Tokens of each word.  Neither normal form, lower case nor a pre-token reaches over white space, so the
+        words go to the library as one text with a space between them."""
         out = np.zeros(len(words), dtype=np.int64)
-        owner, tokens = [], []
-        for i, w in enumerate(words):
-            if not w.isascii():
-                w = unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3")  # lower() would make it final by context
-            for piece in self.cut.findall(w.lower()):
-                owner.append(i)
-                tokens.append(piece.encode("utf-8", "surrogatepass"))
-        if not tokens:
+        text = self.library.normalizer.normalize_str(" ".join(words))
+        starts = np.zeros(len(words) + 1, dtype=np.int64)
+        np.cumsum([len(w) + 1 for w in text.split(" ")] if words else [], out=starts[1:])
+        found = self.library.pre_tokenizer.pre_tokenize_str(text)
+        if not found:
             return out
-        left = self.merge(tokens)
-        np.add.at(out, np.array(owner), left)
+        at = np.fromiter((span[0] for _, span in found), dtype=np.int64, count=len(found))
+        np.add.at(out, np.searchsorted(starts, at, side="right") - 1, self.merge([piece for piece, _ in found]))
         return out
 
-    def merge(self, tokens: list[bytes]) -> np.ndarray:
-        """Symbols left of each pre-token after all merges."""
+    def merge(self, tokens: list[str]) -> np.ndarray:
+        """Symbols left of each pre-token (of byte letters) after all merges."""
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        raw = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        raw = np.frombuffer("".join(tokens).encode("utf-32-le"), dtype=np.uint32)
         ends = np.cumsum(lengths)
         symbols = self.plain[raw]
         symbols[ends - 1] = self.last[raw[ends - 1]]
