@@ -1,17 +1,23 @@
 """Shards of near-equal bytes by histogram sort, in DataFrame functions alone.
 
-Method: rows are ordered by a 64-bit hash of the text (equal texts are neighbours), then by one of the
-doc_id.  Exact bytes below candidate boundaries are counted over all partitions at once; each round
-divides only the intervals in which a splitter still has to lie, until the bytes of every such interval
-are within the tolerance or the interval is a single key.  A key too heavy for the tolerance (a large
-group of equal texts) is divided by the second hash in the same way, so no group unbalances a shard.  With
-the splitters known, every row is exchanged once, to (shard, bin), and numbered there; the bins of a
-shard follow each other, so slots have no gap and no task holds a whole shard or a whole group.
-
-The driver holds counts of at most (shards - 1) x 4096 intervals a round and of shards x 4096 bins.
-
-Cases: null or empty text: size 1.  Null doc_id and repeated rows: rows like any other.  Empty table: no
-rows.  Fewer rows than shards: some shards stay empty.
+Method: rows are ordered by three 60-bit numbers: a hash of the text (equal texts are neighbours), one of the text
+and the doc_id, and one of the row's number, by which even identical rows differ.  Exact bytes below
+candidate boundaries are counted over all partitions at once; each round divides only the intervals in which
+a splitter still has to lie, until the bytes of every such interval are within the tolerance or the
+interval is a single key.  A key too heavy for the tolerance (a large group of equal texts) is divided by the
+next number in the same way, so no group unbalances a shard.  With the splitters known, every row is
+exchanged once, to (shard, bin), and numbered there; the bins of a shard follow each other, so slots have no
+gap.  Bins with too many rows (equal texts, repeated rows) are divided by the second and the third number
+before that exchange, so no task holds a whole shard or a whole group.
+
+The driver holds counts of at most (shards - 1) x 4096 intervals a round and of the bins, whose number depends on
+the shards and not on the rows.
+
+Cases: null or empty text: size 1.  Null doc_id: a row like any other.  Repeated rows: a row each, in as many shards as
+their bytes need.  Ties: rows equal in the first number keep together, and are cut by the second, then by the third.
+Empty table: no rows.  Fewer rows than shards: some shards stay empty.  Very long texts: only their sizes and
+hashes travel; a text larger than a shard goes to the nearer side.  Columns but doc_id and text, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -25,23 +31,30 @@ SHARDS = 16
 #: Bits by which an interval is divided in a round.
 STEP = 12
 WIDTH = 60
-BINS = 4096
+#: Bins of the first number, over all shards.
+BIN_BITS = 12
+#: Rows from which a bin is divided: at least, and as a share of a shard's rows.
+HEAVY_ROWS = 1 << 16
+HEAVY_SHARE = 64
 #: Bytes by which a splitter may miss its target, as a share of a shard.
 TOLERANCE = 0.001
+LEVELS = ("__first", "__second", "__third")
 
 
-def key(*columns: str) -> Column:
+def key(*columns: str | Column) -> Column:
     """A hash as a number from 0 to 2^60 - 1, so that order and bits agree without signs."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - WIDTH)
 
 
 def sized(docs: DataFrame) -> DataFrame:
+    """What is exchanged; to be staged, as row numbers hold only for what has been written."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         key("text").alias("__first"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - WIDTH).alias("__second"),
+        key("doc_id", "text").alias("__second"),
+        key(F.monotonically_increasing_id()).alias("__third"),
     )
 
 
@@ -81,39 +94,64 @@ def refine(rows: DataFrame, column: str, targets: dict[int, float], tolerance: f
     return done
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """Boundaries (first key, second key): a row lies after a boundary if its pair of keys is not smaller."""
+def divide(rows: DataFrame, targets: dict[int, float], allowed: float, levels: tuple[str, ...] = LEVELS) -> dict[int, tuple[int, ...]]:
+    """Boundaries, one number a level, for targets in bytes below them; a key too heavy is divided by the next level."""
+    found = refine(rows, levels[0], targets, allowed)
+    rest = (0,) * (len(levels) - 1)
+    out = {s: (k, *rest) for s, (k, _, heavy) in found.items() if not heavy}
+    heavy: dict[int, dict[int, float]] = {}
+    for s, (k, below, size) in found.items():
+        if size and rest:
+            heavy.setdefault(k, {})[s] = targets[s] - below
+        elif size:  # rows whose numbers are equal at all levels go to the nearer side
+            out[s] = (k + (targets[s] - below > size / 2),)
+    for k, group in heavy.items():
+        inner = divide(rows.filter(F.col(levels[0]) == k), group, allowed, levels[1:])
+        out |= {s: (k, *keys) for s, keys in inner.items()}
+    return out
+
+
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """Boundaries: a row lies after a boundary if its three numbers, in order, are not smaller."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    allowed = tolerance * total / shards
-    targets = {s: total * s / shards for s in range(1, shards)}
-    found = refine(rows, "__first", targets, allowed)
-    out = {s: (k, 0) for s, (k, _, heavy) in found.items() if not heavy}
-    by_key: dict[int, list[int]] = {}
-    for s, (k, _, heavy) in found.items():
-        if heavy:
-            by_key.setdefault(k, []).append(s)
-    for k, group in by_key.items():
-        inner = refine(rows.filter(F.col("__first") == k), "__second", {s: targets[s] - found[s][1] for s in group}, allowed)
-        for s, (second, below, heavy) in inner.items():
-            # a single document over the boundary goes to the nearer side
-            out[s] = (k, second + (1 if heavy and targets[s] - found[s][1] - below > heavy / 2 else 0))
-    return [out[s] for s in sorted(out)]
+    found = divide(rows, {s: total * s / shards for s in range(1, shards)}, tolerance * total / shards)
+    return [found[s] for s in sorted(found)]
+
+
+def after(bound: tuple[int, ...], levels: tuple[str, ...] = LEVELS) -> Column:
+    own = F.col(levels[0])
+    if len(levels) == 1:
+        return own >= bound[0]
+    return (own > bound[0]) | ((own == bound[0]) & after(bound[1:], levels[1:]))
+
+
+def binned(placed: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(placed with __bin, rows of each (shard, __bin)): bins follow the first number; heavy ones are divided by the
+    second and, where that leaves them heavy (repeated rows), by the third."""
+    placed = placed.withColumn("__bin", F.shiftrightunsigned("__first", WIDTH - BIN_BITS).cast("long"))
+    counts = stage(placed.groupBy("shard", "__bin").agg(F.count("*").alias("__rows")), "bins")
+    limit = max(HEAVY_ROWS, (counts.agg(F.sum("__rows")).first()[0] or 0) // (shards * HEAVY_SHARE))
+    for column in LEVELS[1:]:
+        heavy = counts.filter(F.col("__rows") > limit).select(F.col("shard").alias("__s"), F.col("__bin").alias("__b"), F.ceil(F.col("__rows") / limit).cast("long").alias("__parts"))
+        if heavy.isEmpty():
+            break
+        # at most shards x HEAVY_SHARE heavy bins exist, whatever the number of rows
+        placed = placed.join(F.broadcast(heavy), (F.col("shard") == F.col("__s")) & (F.col("__bin") == F.col("__b")), "left")
+        part = F.pmod(F.col(column), F.coalesce("__parts", F.lit(1)))
+        placed = placed.withColumn("__bin", F.shiftleft("__bin", 20) + part).drop("__s", "__b", "__parts")
+        counts = stage(placed.groupBy("shard", "__bin").agg(F.count("*").alias("__rows")), "bins")
+    return placed, counts
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     rows = stage(sized(docs), "sized")
     bounds = splitters(rows, shards, tolerance)
-    after = [(F.col("__first") > a) | ((F.col("__first") == a) & (F.col("__second") >= b)) for a, b in bounds]
-    placed = rows.withColumn("shard", sum((c.cast("int") for c in after), F.lit(0)))
-    # bins keep the order of the first key; a third of a bit's worth of the second spreads equal texts
-    low = (BINS - 1).bit_length() // 3
-    placed = placed.withColumn("__bin", (F.shiftrightunsigned("__first", WIDTH - (BINS - 1).bit_length() + low) * (1 << low) + F.col("__second").bitwiseAND(F.lit((1 << low) - 1))).cast("int"))
-    counts = placed.groupBy("shard", "__bin").agg(F.count("*").alias("__rows"))
+    placed, counts = binned(rows.withColumn("shard", sum((after(b).cast("int") for b in bounds), F.lit(0))), shards)
     before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BINS + shards * 2^low rows: every bin of a key range lies in one shard but at the boundaries
+    # bins of a range of the first number lie in one shard but at the boundaries; heavy ones add shards x HEAVY_SHARE
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
-    number = F.row_number().over(Window.partitionBy("shard", "__bin").orderBy("__first", "__second", "doc_id"))
+    number = F.row_number().over(Window.partitionBy("shard", "__bin").orderBy(*LEVELS[:2], "doc_id"))
     return (
         placed.withColumn("__n", number)
         .join(F.broadcast(offsets), ["shard", "__bin"])

@@ -22,6 +22,44 @@ def test_table(odd, local):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
 
 
+def check_law(rows, shards=16):
+    """Near-equal bytes: within the tolerance and the largest row on each side."""
+    sizes = Counter({s: 0 for s in range(shards)})
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    room = 0.002 * sum(sizes.values()) / shards + 2 * max(r["size"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= room
+
+
+@pytest.mark.parametrize("heavy_rows", [1 << 16, 20])
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(5, "y" * 50)] * 1600 + [(i, f"t{i}") for i in range(400)],  # one row again and again
+        [(None, None)] * 1600,
+        [(None, "a b")] * 900 + [(i, "a b") for i in range(900)],
+        [(i % 3, "x" * (i % 3)) for i in range(1200)],
+    ],
+)
+def test_repeated_rows_are_divided(spark, monkeypatch, rows, heavy_rows):
+    monkeypatch.setattr(sharding, "HEAVY_ROWS", heavy_rows)
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    check(out, 16)
+    check_law(out)
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len(t or "") + 1) for d, t in rows)
+
+
+def test_heavy_bins_are_divided(spark, monkeypatch):
+    """No numbering window holds all copies of a text, or of a row."""
+    monkeypatch.setattr(sharding, "HEAVY_ROWS", 20)
+    rows = [(i, "one text") for i in range(1000)] + [(7, "one row")] * 1000 + [(i, f"t{i}") for i in range(500)]
+    sized = sharding.stage(sharding.sized(spark.createDataFrame(rows, "doc_id long, text string")), "sized")
+    bounds = sharding.splitters(sized, 4)
+    placed, counts = sharding.binned(sized.withColumn("shard", sum((sharding.after(b).cast("int") for b in bounds), sharding.F.lit(0))), 4)
+    assert max(r["__rows"] for r in counts.collect()) <= 60
+    assert placed.count() == len(rows) == sum(r["__rows"] for r in counts.collect())
+
+
 @pytest.mark.parametrize("copies", [0, 4000])
 def test_sizes_are_near_equal(spark, copies):
     """Also with a group of equal texts that holds most rows."""
