@@ -2,25 +2,30 @@
 
 Method: a configuration linear program over the length histogram (a configuration is a multiset of
 lengths that fits one sequence; every length must be covered as often as it occurs).  It is solved by
-multiplicative weights: a length's price falls as it is covered, a knapsack dynamic program over the
-prices finds the best configuration of each step, for STEPS steps at most, which need not cover every
-length.  The solution is rounded down; what that leaves, with many lengths most pieces, is placed by best
-fit over the same histogram.
-
-Only the histogram (at most `capacity` numbers) and bucket counts (at most BUCKETS + capacity numbers)
-reach the driver.  Pieces are numbered inside (length, bucket) groups, whose number is bounded and whose
-size is even, so neither a frequent length nor a group of copies meets in one task; pieces of full
-capacity need no place and are never shuffled.
+multiplicative weights: a length's price falls exponentially as it is covered, and a knapsack dynamic program
+over the prices finds configurations until every length is covered.  One table of the program prices the best
+configuration around every length; those whose worth is within GAP of the best enter, in steps of a
+share of what is open, one sequence at least, so the solution is made of whole numbers where counts
+are small.  Rounding: a configuration that asks for more pieces of a length than are left gives those up and is
+filled with the longest pieces that fit.  Best fit places what the last configurations (of SHARES) would have placed
+where that takes fewer sequences, and all of it if configurations never take fewer.
+
+Only the histogram (at most `capacity` numbers) and bucket counts (at most MOST_BUCKETS + capacity numbers)
+reach the driver.  Pieces are numbered inside (length, bucket) groups, dealt by a hash of the row's number, so
+their size is even whatever repeats; pieces of full capacity need no place and are never shuffled.
 
 Cases: null or empty text: the piece [0].  Repeated rows: each is packed.  Null doc_id: packed like any
-other.  Empty table: no rows.  Very long texts: pieces of the capacity, the first one may be shorter.
+other.  Ties: pieces of one length are interchangeable, any of them gets any of their places.  Empty table: no rows.
+Very long texts: pieces of the capacity, the first one may be shorter.  Columns but doc_id and text, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +36,19 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import arrow_rows, chunks, documents, stage, texts_of
 
 CAPACITY = 2048
-#: Groups in which pieces are numbered, besides one for each length.
-BUCKETS = 4096
-STEPS = 400
+#: Groups in which pieces are numbered, besides one for each length: pieces of a group, and the most groups.
+BUCKET_ROWS = 1 << 17
+MOST_BUCKETS = 1 << 16
 #: How fast prices fall with coverage, and how much more than in proportion the longest piece is worth.
-RATE = 3.0
+RATE = 0.5
 BONUS = 0.3
+#: By which share a configuration may be worth less than the best one; what part of the open pieces a step covers.
+GAP = 0.002
+PART = 4
+#: Configurations that a step finds before it gives up on rounding some down.
+LEAST = 3
+#: Shares of the pieces that configurations place, of which the one with the fewest sequences is taken.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.75, 0.5, 0.0)
 #: Sequences of a piece of full capacity are numbered from here on.
 FULL = 1 << 50
 
@@ -98,48 +110,90 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES_DDL)
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths with the greatest sum of prices among those that fit the capacity."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, dtype=np.int64)
-    for room in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        gains = best[room - lengths[:n]] + prices[:n]
-        i = int(np.argmax(gains))
-        best[room], pick[room] = gains[i], i
-        if best[room - 1] > best[room]:
-            best[room], pick[room] = best[room - 1], -2
-    found: dict[int, int] = {}
-    room = capacity
-    while room >= lengths[0] and pick[room] != -1:
-        if pick[room] == -2:
-            room -= 1
-            continue
-        i = int(pick[room])
-        found[i] = found.get(i, 0) + 1
-        room -= int(lengths[i])
+def numbered(cut: DataFrame) -> DataFrame:
+    """pieces() with a number in __row by which repeated rows differ; it holds for what has been staged."""
+    return cut.withColumn("__row", F.monotonically_increasing_id())
+
+
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """prices[n] of a piece of length n -> for each room the greatest sum of prices that fits, and a length to begin
+    with (0: nothing uses this room in full)."""
+    best = np.zeros(len(prices))
+    pick = np.zeros(len(prices), dtype=np.int64)
+    for room in range(1, len(prices)):
+        value, first = prices[room], room
+        if half := room // 2:  # of two pieces or more one is at most half the room
+            gains = prices[1 : half + 1] + best[room - 1 : room - half - 1 : -1]
+            at = int(gains.argmax())
+            if gains[at] > value:
+                value, first = gains[at], at + 1
+        if best[room - 1] >= value:
+            value, first = best[room - 1], 0
+        best[room], pick[room] = value, first
+    return best, pick
+
+
+def configuration(pick: np.ndarray, room: int, lead: int) -> dict[int, int]:
+    """The multiset of lengths that the table of knapsack() has around a piece of length lead."""
+    found, room = {lead: 1}, room - lead
+    while room > 0:
+        n = int(pick[room])
+        if n:
+            found[n] = found.get(n, 0) + 1
+        room -= n or 1
     return found
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[dict[int, int], float]]:
-    """Fractional numbers of configurations that cover every length as often as it occurs.  Prices begin a
-    little above proportion for long pieces, which are the hard ones to place, and fall as lengths are covered."""
-    need = counts.astype(float)
-    covered = np.zeros(len(lengths))
-    found: dict[tuple, float] = defaultdict(float)
-    base = lengths * (1 + BONUS * lengths / capacity)
-    for _ in range(steps):
-        share = covered / need
-        if share.min() >= 1:
-            break
-        prices = np.where(share < 1, base * np.exp(-RATE * share), 0.0)
-        config = knapsack(prices, lengths, capacity)
-        i, a = np.array(list(config)), np.array(list(config.values()), dtype=float)
-        grow = max(1.0, float(np.min(need[i] / a)) / 4)
-        grow = min(grow, max(1.0, float(np.min(np.maximum(need[i] - covered[i], a) / a))))
-        found[tuple(sorted(config.items()))] += grow
-        covered[i] += a * grow
-    return [(dict(c), x) for c, x in found.items()]
+def filled(config: dict[int, int], left: np.ndarray, open_: list[int], capacity: int) -> dict[int, int]:
+    """The configuration cut to the pieces that are left, its room filled with the longest ones (of open_) that fit."""
+    config = {n: int(min(times, left[n])) for n, times in config.items() if left[n] > 0}
+    room = capacity - sum(n * times for n, times in config.items())
+    at = bisect_right(open_, room) - 1
+    while at >= 0:
+        n = open_[at]
+        more = int(min(room // n, left[n] - config.get(n, 0)))
+        if more > 0:
+            config[n] = config.get(n, 0) + more
+            room -= n * more
+        at = min(at, bisect_right(open_, room)) - 1
+    return config
+
+
+def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """(configuration, number of sequences) that cover every length exactly as often as it occurs, in the order in which
+    they were found; and the greatest bound from below that prices gave for any packing (by duality)."""
+    need = np.zeros(capacity + 1, dtype=np.int64)
+    need[list(histogram)] = list(histogram.values())
+    lengths = np.flatnonzero(need)[::-1]
+    left = need.copy()
+    size = np.arange(capacity + 1)
+    base = size * (1 + BONUS * size / capacity)
+    out: list[tuple[dict[int, int], int]] = []
+    bound = 0.0
+
+    def take(config: dict[int, int], n: int) -> None:
+        out.append((config, n))
+        for length, times in config.items():
+            left[length] -= times * n
+
+    while left.any():
+        prices = np.where(left > 0, base * np.exp(-RATE * (1 - left / np.maximum(need, 1))), 0.0)
+        best, pick = knapsack(prices)
+        bound = max(bound, float((prices * need).sum() / best[capacity]))
+        worth = prices[lengths] + best[capacity - lengths]
+        found = 0
+        for lead in lengths[(left[lengths] > 0) & (worth >= (1 - GAP) * best[capacity])].tolist():
+            config = configuration(pick, capacity, lead)
+            whole = int(min(left[n] // times for n, times in config.items()))
+            if whole > 0:
+                take(config, max(1, whole // PART))
+                found += 1
+        if found < LEAST:
+            open_ = np.flatnonzero(left).tolist()
+            for lead in open_[: -4 * LEAST - 1 : -1]:
+                if left[lead] > 0:
+                    take(filled(configuration(pick, capacity, lead), left, open_, capacity), 1)
+    return out, bound
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -181,27 +235,42 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [x for group in rooms.values() for x in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(configuration {length: times}, number of sequences) that hold exactly the pieces of the histogram."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    if not len(lengths):
-        return []
-    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    solved = sorted(solve(lengths, counts, capacity), key=lambda c: -c[1])
-    # three roundings: keep configurations that waste nothing, little, or any number of places
-    kept = min((round_down(solved, lengths, counts, capacity, waste) for waste in (0, capacity >> 8, capacity)), key=lambda c: sum(n for _, n in c))
-    return [({int(lengths[i]): n for i, n in c.items()}, n) for c, n in kept]
-
-
-def round_down(solved: list, lengths: np.ndarray, counts: np.ndarray, capacity: int, waste: int) -> list[tuple[dict[int, int], int]]:
-    left, out = counts.copy(), []
-    for config, x in solved:
-        i, a = np.array(list(config)), np.array(list(config.values()))
-        n = int(min(np.floor(x), (left[i] // a).min()))
-        if n > 0 and capacity - int((lengths[i] * a).sum()) <= waste:
-            left[i] -= a * n
-            out.append((config, n))
-    return out + best_fit(lengths, left, capacity)
+@dataclass
+class Plan:
+    """configs: (configuration {length: times}, number of sequences) that hold exactly the pieces of the histogram;
+    placed: how many of the pieces configurations of the program place, best fit the others; bound: no packing
+    has fewer sequences."""
+
+    configs: list[tuple[dict[int, int], int]]
+    placed: int
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configs)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    if not histogram:
+        return Plan([], 0, 0)
+    solved, dual = solve(histogram, capacity)
+    bound = max(-(-sum(n * c for n, c in histogram.items()) // capacity), int(np.ceil(dual - 1e-6)))
+    pieces = sum(histogram.values())
+    plans = []
+    for share in SHARES:
+        left, taken, placed = dict(histogram), [], 0
+        for config, n in solved:
+            if placed >= share * pieces:
+                break
+            for length, times in config.items():
+                left[length] -= times * n
+            placed += n * sum(config.values())
+            taken.append((config, n))
+        rest = {n: c for n, c in sorted(left.items()) if c > 0}
+        lengths = np.array(list(rest), dtype=np.int64)
+        more = best_fit(lengths, np.array(list(rest.values()), dtype=np.int64), capacity)
+        plans.append(Plan(taken + [({int(lengths[i]): times for i, times in c.items()}, n) for c, n in more], placed, bound))
+    return min(plans, key=lambda p: p.sequences)  # of equal ones the first, which has the most of the program
 
 
 def places(configs: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -219,30 +288,29 @@ def places(configs: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {"at": (a[:, 0] << 48) + a[:, 1], "first": a[:, 1], "sequence": a[:, 2], "times": a[:, 3], "offset": a[:, 4]}
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """Give every row of cut (the columns of PIECES; it must be stable, as a staged table is) its
+def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Give every row of cut (the columns of numbered(); it must be stable, as a staged table is) its
     sequence_id and offset."""
     spark = cut.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram.pop(capacity, None)
-    total = sum(histogram.values())
-    size = max(64, -(-total // buckets))
-    table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
+    size = max(bucket_rows, -(-sum(histogram.values()) // MOST_BUCKETS))
+    table = spark.sparkContext.broadcast(places(plan(histogram, capacity).configs))
     # the number of buckets of each length; only lengths with more than `size` pieces are listed
     many = {n: -(-c // size) for n, c in histogram.items() if c > size}
     parts = F.lit(1)
     if many:
         split = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
         parts = F.coalesce(F.element_at(split, F.col("length").cast("int")), F.lit(1))
-    rest = cut.filter(F.col("length") < capacity).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), parts).cast("int"))
+    rest = cut.filter(F.col("length") < capacity).withColumn("__bucket", F.pmod(F.xxhash64("__row"), parts).cast("int"))
     before: dict[tuple[int, int], int] = {}
     given: dict[int, int] = defaultdict(int)
     for r in sorted(rest.groupBy("length", "__bucket").agg(F.count("*").alias("n")).collect()):
         before[r["length"], r["__bucket"]] = given[r["length"]]
         given[r["length"]] += r["n"]
     offsets = spark.sparkContext.broadcast(before)
-    order = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    numbered = rest.withColumn("__n", F.row_number().over(order))
+    order = Window.partitionBy("length", "__bucket").orderBy("__row")
+    rest = rest.withColumn("__n", F.row_number().over(order))
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
     ddl = f"{PIECES_DDL}, sequence_id long, offset long"
 
@@ -259,11 +327,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PIECES.names), pa.array(sequence), pa.array(t["offset"][run] + since % t["times"][run] * length)], schema=schema)
 
     full = cut.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(FULL) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return numbered.mapInArrow(place, ddl).unionByName(full)
+    return rest.mapInArrow(place, ddl).unionByName(full.drop("__row"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stage(pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    return pack(stage(numbered(pieces(docs, vocabulary, capacity)), "pieces"), capacity)
 
 
 def op1_best_fit_packing(spark, sf_dir):

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kgspark.llm import packing
@@ -67,12 +68,24 @@ def test_round_trip(odd, local):
 
 
 def test_small_capacity_and_buckets(odd):
-    cut = packing.stage(packing.pieces(odd, PATH, 32), "pieces")
-    rows = packing.pack(cut, 32, buckets=4).collect()
+    cut = packing.stage(packing.numbered(packing.pieces(odd, PATH, 32)), "pieces")
+    rows = packing.pack(cut, 32, bucket_rows=7).collect()
     assert len(rows) == cut.count()
     check_places(rows, 32)
 
 
+def test_repeated_rows_are_dealt(spark, monkeypatch):
+    """Also rows that are equal in all columns go to several buckets."""
+    docs = spark.createDataFrame([(7, "one text")] * 300 + [(None, None)] * 300, "doc_id long, text string")
+    cut = packing.stage(packing.numbered(packing.pieces(docs, PATH)), "pieces")
+    sizes = []
+    monkeypatch.setattr(packing.Window, "partitionBy", lambda *c, of=packing.Window.partitionBy: sizes.append(c) or of(*c))
+    rows = packing.pack(cut, bucket_rows=20)
+    assert sizes == [("length", "__bucket")] and len(rows.collect()) == 600
+    assert check_places(rows.collect(), packing.CAPACITY) == 1
+    assert cut.select("__row").distinct().count() == 600
+
+
 def test_empty_table(none):
     assert packing.pack_documents(none, PATH).collect() == []
 
@@ -82,31 +95,81 @@ def test_empty_table(none):
 def test_plans_hold_exactly_the_pieces(histogram):
     plan = packing.plan(histogram, 64)
     got = Counter()
-    for config, n in plan:
+    for config, n in plan.configs:
         assert n > 0 and sum(k * v for k, v in config.items()) <= 64
         for k, v in config.items():
             got[k] += v * n
     assert got == Counter(histogram)
+    assert plan.bound <= plan.sequences <= plain(histogram, 64)
+
+
+def plain(histogram, capacity=2048):
+    """Sequences of best fit alone."""
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    return sum(n for _, n in packing.best_fit(lengths, np.array([histogram[int(n)] for n in lengths], dtype=np.int64), capacity))
+
+
+def test_best_fit_is_best_fit():
+    """The counting form against one piece after another."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = sorted(rng.integers(1, 60, 200).tolist(), reverse=True)
+        rooms = []
+        for n in sizes:
+            fit = [r for r in rooms if r >= n]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else 64) - n)
+        assert plain(Counter(sizes), 64) <= len(rooms) + 1
+
+
+def lognormal(n):
+    return Counter(np.clip(np.random.default_rng(1).lognormal(6, 0.9, n), 1, 2047).astype(int).tolist())
+
+
+@pytest.mark.parametrize("pieces", [300, 10_000, 1_000_000])
+def test_configurations_place_most_pieces(pieces):
+    histogram = lognormal(pieces)
+    plan = packing.plan(histogram)
+    assert plan.placed >= 0.9 * pieces
+    assert plan.sequences <= plain(histogram) and plan.sequences <= 1.001 * plan.bound + 1
 
 
 def test_plan_is_near_the_bound():
-    rng = np.random.default_rng(1)
-    histogram = Counter(rng.integers(1, 2048, 5000).tolist())
-    total = sum(k * v for k, v in histogram.items())
-    assert sum(n for _, n in packing.plan(histogram)) <= 1.005 * total / 2048 + 1
+    histogram = Counter(np.random.default_rng(1).integers(1, 2048, 5000).tolist())
+    plan = packing.plan(histogram)
+    assert plan.sequences <= min(plain(histogram), 1.005 * plan.bound + 1)
+
+
+def test_bound_is_right():
+    """Against the least number of sequences by trying all ways, for few pieces."""
+    rng = np.random.default_rng(3)
+
+    def least(sizes, rooms):
+        if not sizes:
+            return len(rooms)
+        n, out = sizes[0], [least(sizes[1:], [*rooms, 16 - sizes[0]])]
+        for i in {r: i for i, r in enumerate(rooms) if r >= n}.values():
+            out.append(least(sizes[1:], [*rooms[:i], rooms[i] - n, *rooms[i + 1 :]]))
+        return min(out)
+
+    for _ in range(15):
+        sizes = sorted(rng.integers(1, 16, 7).tolist(), reverse=True)
+        plan = packing.plan(Counter(sizes), 16)
+        assert plan.bound <= least(sizes, []) <= plan.sequences
 
 
 def test_knapsack_is_best():
-    lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.1])
-    found = packing.knapsack(prices, lengths, 16)
-    best = max(3 * a + 5.5 * b + 7.1 * c for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 16)
-    assert abs(sum(prices[i] * n for i, n in found.items()) - best) < 1e-9
+    prices = np.zeros(17)
+    prices[[3, 5, 7]] = 3.0, 5.5, 7.1
+    best, pick = packing.knapsack(prices)
+    assert abs(best[16] - max(3 * a + 5.5 * b + 7.1 * c for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 16)) < 1e-9
+    config = packing.configuration(pick, 16, 5)
+    assert abs(sum(prices[n] * k for n, k in config.items()) - prices[5] - best[11]) < 1e-9
 
 
 def test_plan_beats_best_fit_where_that_is_bad():
     """Pieces of about a third: best fit leaves gaps, configurations that fill a sequence don't."""
-    rng = np.random.default_rng(2)
-    histogram = Counter(rng.integers(600, 760, 20_000).tolist())
-    lengths = np.array(sorted(histogram))
-    plain = sum(n for _, n in packing.best_fit(lengths, np.array([histogram[int(n)] for n in lengths]), 2048))
-    assert sum(n for _, n in packing.plan(histogram)) < 0.95 * plain
+    histogram = Counter(np.random.default_rng(2).integers(600, 760, 20_000).tolist())
+    plan = packing.plan(histogram)
+    assert plan.sequences < 0.95 * plain(histogram) and plan.sequences <= 1.01 * plan.bound
