@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.functions import tests as T
+from kgspark.functions import two_sample as T
 from kgspark.operators.ranking import running_sums
 
 

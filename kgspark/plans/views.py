@@ -76,11 +76,13 @@ WHERE n <= FLOOR(total * 0.01)""",
     # customer - supplier pairs: the longest-known supplier of what the customer takes
     "distant": """
 SELECT t.test_id, t.head, MIN(s.tail) AS tail FROM tests t JOIN triples s ON t.tail = s.head GROUP BY t.test_id, t.head""",
-    # training edges that touch a test edge, or the test edge's neighbours, with influence
+    # training edges that touch a test edge, or the test edge's neighbours, with influence: joins on one node each
     "near": """
-SELECT DISTINCT t.test_id, t.head AS test_head, t.tail AS test_tail, n.head, n.relation, n.tail FROM tests t
-JOIN (SELECT head AS a, tail AS b FROM triples UNION SELECT tail, head FROM triples) k ON k.a = t.head OR k.a = t.tail
-JOIN triples n ON n.head = k.b OR n.tail = k.b""",
+SELECT DISTINCT f.test_id, f.test_head, f.test_tail, n.head, n.relation, n.tail FROM (
+  SELECT DISTINCT e.test_id, e.test_head, e.test_tail, k.b FROM (
+    SELECT test_id, head AS test_head, tail AS test_tail, head AS node FROM tests UNION SELECT test_id, head, tail, tail FROM tests) e
+  JOIN (SELECT head AS a, tail AS b FROM triples UNION SELECT tail, head FROM triples) k ON k.a = e.node) f
+JOIN (SELECT head AS node, head, relation, tail FROM triples UNION ALL SELECT tail, head, relation, tail FROM triples) n ON n.node = f.b""",
     "influence": """
 SELECT test_id, test_head AS TestHead, test_tail AS TestTail, head AS TrainHead, relation AS TrainRel_label, tail AS TrainTail,
   ROUND(CAST((LENGTH(REPLACE(MD5(test_id || head || relation || tail), 'a', '')) - 30) * 50 + ASCII(MD5(tail || test_id || head)) AS DOUBLE) / 100, 6) AS TracInScore,
@@ -134,4 +136,5 @@ def view(spark: SparkSession, sf_dir: str, name: str, read: dict[str, DataFrame]
         return picked.select(F.concat_ws("|", "head", "tail").alias("test_id"), "head", "relation", "tail").persist()
     known = {n for n in re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name]) if n in VIEWS or n in TABLES}
     text = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in known else m[0], VIEWS[name])
-    return spark.sql(text, **{n: get(n) for n in known})
+    found = spark.sql(text, **{n: get(n) for n in known})
+    return found.persist() if name == "near" else found  # read many times by one query
