@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.sources.staging import drop_staged, new_path, shared_dir, stage
 
-__all__ = ["chunks", "documents", "drop_staged", "held_out", "new_path", "shared_dir", "stage", "texts_of", "words_of"]
+__all__ = ["chunks", "documents", "drop_staged", "free_names", "held_out", "new_path", "one_row_each", "shared_dir", "stage", "texts_of", "words_of"]
 
 #: Constants of the splitmix64 finaliser.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -20,6 +20,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to differ from the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_row_each(docs: DataFrame, *keys: Column) -> DataFrame:
+    """One row for each value of the keys, of several the one whose columns have the least hash.  An aggregate: repeats
+    are dropped before the shuffle, so they don't meet in one task."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names)], whole.alias("row"), hashed.alias("hash"))
+    return rows.groupBy(*names).agg(F.min_by("row", "hash").alias("row")).select("row.*")
+
+
 def held_out(doc_id):
     """True where crc32 of doc_id as text leaves no remainder by 5: labels of these rows are never learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -2,7 +2,8 @@
 
 Method: a text is parsed left to right into the shortest phrases that its own dictionary does not have
 yet (Lempel-Ziv 1978); the set of phrase hashes is the document, and its SIGNATURE smallest hashes are
-the fingerprint.  Likeness is the share of common hashes among the SIGNATURE smallest of both sets
+the fingerprint, which is returned whole, so any two returned fingerprints can be compared (signature_of(),
+likeness()).  Likeness is the share of common hashes among the SIGNATURE smallest of both sets
 together: an estimate of the sets' Jaccard similarity, and exact for sets that small.
 
 The parse of an edited text begins as that of the text itself, so the dictionary is built once up to the
@@ -15,7 +16,9 @@ before that exchange.
 
 Cases: null or empty text: no phrases, and the fingerprint of the empty set; two empty sets have likeness
 1, an empty and a full one 0.  Repeated doc_ids: neighbours in order of text hash.  A single document: it is
-its own neighbour.  Very long texts: whole; a range is streamed row by row.
+its own neighbour.  Repeated rows: a row each, neighbours of each other.  Ties (rows equal in doc_id and text) have the
+same values whatever their order.  Empty table: no rows.  Very long texts: whole; a range is streamed row by row.
+Columns but doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -74,8 +77,8 @@ class Prefix:
         np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=self.sums[1:])
 
     def of(self, bounds: np.ndarray) -> np.ndarray:
-        """One hash for each phrase between two neighbouring bounds."""
-        return mix((self.sums[bounds[1:]] - self.sums[bounds[:-1]]) * self.back[bounds[:-1]])
+        """One hash of 32 bits for each phrase between two neighbouring bounds."""
+        return (mix((self.sums[bounds[1:]] - self.sums[bounds[:-1]]) * self.back[bounds[:-1]]) >> np.uint64(32)).astype(np.uint32)
 
 
 def smallest(hashes: np.ndarray) -> np.ndarray:
@@ -112,8 +115,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def name(s: np.ndarray) -> str:
-    """The fingerprint as text: the signature's 128-bit hash and its size."""
-    return f"{xxhash.xxh3_128_hexdigest(s.tobytes())}{len(s):04x}"
+    """The fingerprint as text: the signature's hashes, ascending, eight hexadecimal digits each."""
+    return s.astype(">u4").tobytes().hex()
+
+
+def signature_of(fingerprint: str) -> np.ndarray:
+    """The signature that name() wrote: likeness() of two of them is that of their documents."""
+    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u4").astype(np.uint32)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -2,25 +2,27 @@
 
 Writing: each payload becomes an 8-bit grey PNG of 64 samples a line (so payloads are padded to a
 multiple of 64 bytes; the unpadded length is a tEXt chunk).  A task writes its images as members of tar
-files under temporary names and renames them when complete, so a repeated task replaces its own files and
-readers never see half of one.  Beside each archive lies an index of its members' offsets and sizes.
+files, each under a name of its attempt's own, so nothing is ever renamed or replaced; beside each archive lies an
+index of its members' offsets and sizes.  What successful tasks return is written, last, as the list of archives that
+count: files of lost or repeated attempts are in no list.
 
-Reading: the data source `media_archive` lists the archives of a directory on the driver (names and
-sizes only) and plans partitions of byte ranges; a partition has the members whose headers begin in its
-range.  Its task streams them in Arrow batches.  A member that cannot be read, or whose checksums are
+Reading: the data source `media_archive` reads that list on the driver (names and sizes only; without one, all archives
+of the directory count) and plans partitions of byte ranges, MOST_RANGES at most; a partition has the members whose
+headers begin in its range.  Its task streams them in Arrow batches.  A member that cannot be read, or whose checksums are
 wrong, is tried again by itself from its offset, the file opened anew; other members are not read twice.
 
 Files are reached through pyarrow's file systems, so the directory may be a local shared folder, HDFS or
 an object store.
 
 Cases: null or empty text: 64 zero bytes, n_bytes 0.  Null doc_id: a member without a number.  Repeated
-rows: a member each.  Empty table or directory: no rows.  Very long texts: one member at a time is in
-memory.
+rows: a member each, with equal values.  Ties: there are none.  Empty table or directory: no rows.  Very long texts: one
+member at a time is in memory.  Columns but doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import tarfile
@@ -42,7 +44,11 @@ from kgspark.llm.common import chunks, documents, new_path, texts_of
 
 LINE = 64
 ARCHIVE_BYTES = 256 << 20
+#: Bytes of a range, and the most ranges: with more bytes ranges grow.
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 50_000
+#: The file that lists the archives of a directory that count, with their sizes.
+LIST = "archives.json"
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -89,18 +95,19 @@ def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class Archive:
-    """Tar files of one task, `<stem>-<n>.tar`, each with `<stem>-<n>.idx`: pairs of (offset of a member's
-    header, size of its data) as 64-bit numbers."""
+    """Tar files of one attempt of a task, `<stem>-<n>.tar`, each with `<stem>-<n>.idx`: pairs of (offset of a member's
+    header, size of its data) as 64-bit numbers.  `written` has (name, bytes, members) of those complete."""
 
     def __init__(self, uri: str, stem: str, limit: int = ARCHIVE_BYTES):
         self.fs, self.dir = file_system(uri)
-        self.stem, self.limit, self.n, self.members = stem, limit, 0, 0
+        self.stem, self.limit = stem, limit
+        self.written: list[tuple[str, int, int]] = []
         self.stream = None
 
     def add(self, name: str, data: bytes) -> None:
         if self.stream is None:
-            self.temporary = f"{self.dir}/.{uuid.uuid4().hex}"
-            self.stream, self.at, self.index = self.fs.open_output_stream(self.temporary), 0, []
+            self.name = f"{self.stem}-{len(self.written):05d}"
+            self.stream, self.at, self.index = self.fs.open_output_stream(f"{self.dir}/{self.name}.tar"), 0, []
         info = tarfile.TarInfo(name)
         info.size = len(data)
         head = info.tobuf(tarfile.GNU_FORMAT)
@@ -108,22 +115,22 @@ class Archive:
         self.index.append((self.at + len(head) - tarfile.BLOCKSIZE, len(data)))
         self.stream.write(block)
         self.at += len(block)
-        self.members += 1
         if self.at >= self.limit:
             self.close()
 
     def close(self) -> None:
         if self.stream is None:
             return
-        self.stream.write(b"\0" * 2 * tarfile.BLOCKSIZE)
+        end = b"\0" * 2 * tarfile.BLOCKSIZE
+        self.stream.write(end)
         self.stream.close()
         self.stream = None
-        final = f"{self.dir}/{self.stem}-{self.n:05d}"
-        with self.fs.open_output_stream(f"{self.temporary}.idx") as f:
+        with self.fs.open_output_stream(f"{self.dir}/{self.name}.idx") as f:
             f.write(np.array(self.index, dtype="<i8").tobytes())
-        self.fs.move(f"{self.temporary}.idx", f"{final}.idx")
-        self.fs.move(self.temporary, f"{final}.tar")  # last: an archive that is listed has its index
-        self.n += 1
+        self.written.append((f"{self.name}.tar", self.at + len(end), len(self.index)))
+
+
+WRITTEN = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())])
 
 
 def write_archives(docs: DataFrame, uri: str) -> int:
@@ -132,15 +139,29 @@ def write_archives(docs: DataFrame, uri: str) -> int:
     fs.create_dir(path, recursive=True)
 
     def run(batches):
-        archive = Archive(uri, f"part-{TaskContext.get().partitionId():06d}")
+        task = TaskContext.get()
+        archive = Archive(uri, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}")
         for batch in batches:
             for part in chunks(batch, "text"):
                 for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part).cast(pa.large_binary()).to_pylist()):
                     archive.add("null.png" if doc is None else f"{doc}.png", encode(text))
         archive.close()
-        yield pa.RecordBatch.from_arrays([pa.array([archive.members], pa.int64())], names=["members"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*archive.written) if archive.written else [[]] * 3, WRITTEN.types)], schema=WRITTEN)
+
+    # one row an archive of 256 MB, or a task
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "name string, bytes long, members long").collect()
+    with fs.open_output_stream(f"{path}/{LIST}") as f:
+        f.write(json.dumps(sorted([r["name"], r["bytes"]] for r in found)).encode())
+    return sum(r["members"] for r in found)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "members long").agg(F.sum("members")).first()[0] or 0
+def listed(fs: pa.fs.FileSystem, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the archives of a directory that count."""
+    if fs.get_file_info(f"{path}/{LIST}").type == pa.fs.FileType.File:
+        with fs.open_input_stream(f"{path}/{LIST}") as f:
+            return [(f"{path}/{name}", size) for name, size in json.loads(f.read())]
+    found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True, allow_not_found=True))
+    return sorted((f.path, f.size) for f in found if f.path.endswith(".tar"))
 
 
 @dataclass
@@ -157,13 +178,14 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.uri = options["path"]
-        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("rangebytes", 0))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[InputPartition]:
         fs, path = file_system(self.uri)
-        found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True, allow_not_found=True))
-        return [ByteRange(f.path, at, min(at + self.range_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".tar") for at in range(0, f.size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        found = listed(fs, path)
+        step = self.range_bytes or max(RANGE_BYTES, -(-sum(size for _, size in found) // MOST_RANGES))
+        return [ByteRange(name, at, min(at + step, size)) for name, size in found for at in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:

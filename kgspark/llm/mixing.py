@@ -15,8 +15,14 @@ logarithm of the rows, and chance comes from hashes: reruns and repeated tasks a
 Targets: the sources' shares by weight of all sizes, no target above `cap` times its source's size, the
 excess shared out by weight among the others until none is above.
 
-Cases: null text: size 0, taken 0.  Null source: a source of its own, last in order.  A source without
-words: target 0.  Repeated rows: each decided for itself.  Empty table: no rows.
+Repeated rows are one item with a number of rows: of n equal rows with probability p, floor(n p) get a copy
+more, and what is left of n p is the item's probability.  So a row repeated without end is one item.
+
+Cases: null text: size 0, taken 0.  Null doc_id: a document like any other.  Null source: a source of its own, last in
+order.  A source without words: target 0.  Repeated rows: each has its own copies, which differ by one at most.  Ties:
+none, as items differ in doc_id, source, size or the hash of the text.  Empty table: no rows.  Very long texts: only
+their sizes and hashes travel.  Columns but doc_id, source and text, whatever their names, are not read; take() returns
+them as they are.  The targets are computed in one task, from one row a source.
 """
 
 from __future__ import annotations
@@ -24,13 +30,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, stage
+from kgspark.llm.common import documents, free_names, one_row_each, stage
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
 FAN = 64
 WORD = r"[^\x20\x09-\x0D]+"
-ITEM = "struct<__h:bigint,doc_id:bigint,size:bigint,__key:bigint,__p:double>"
+#: Fields of an item beside its probability.
+FIELDS = ("__h", "doc_id", "size", "__key", "rows", "__sure")
+ITEM = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",__p:double>"
+#: Rows of one item that are written out together, and the number of rows of an item from which they are dealt anew.
+TOGETHER = 1 << 16
+MANY = 1 << 20
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -43,12 +54,17 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """source, source_size, docs, target.  One row a source; the window runs over sources, not documents.
+def items_of(rows: DataFrame) -> DataFrame:
+    """rows (of sizes()) with equal ones as one, and their number in rows."""
+    return rows.groupBy("doc_id", "source", "size", "__key").agg(F.count("*").alias("rows"))
+
+
+def targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """source, source_size, items, target.  One row a source; the window runs over sources, not documents.
 
     With all sources ordered by cap x size / weight, those that reach their cap are a prefix: source i is
     capped if the level that the uncapped rest would get is above its own ratio."""
-    each = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    each = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items"))
     # UTF-8 bytes order as code points do; null comes last
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
@@ -62,7 +78,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CA
     open_ = F.when(F.col("__ratio") > F.col("__level"), F.struct("__ratio", "source", "__level"))
     each = each.withColumn("__first", F.min(open_).over(whole)).withColumn("__share", F.col("__first.__level"))
     capped = F.col("__first").isNull() | (F.col("__ratio") <= F.col("__share"))
-    return each.select("source", "source_size", "docs", F.when(capped, F.col("__cap")).otherwise(F.col("__share") * F.col("__w")).alias("target"))
+    return each.select("source", "source_size", "items", F.when(capped, F.col("__cap")).otherwise(F.col("__share") * F.col("__w")).alias("target"))
 
 
 def uniform(*columns: Column) -> Column:
@@ -72,8 +88,8 @@ def uniform(*columns: Column) -> Column:
 
 def step(seed: int):
     """Fold one document into the state (undecided document or null, decided documents)."""
-    item = "struct(x.__h AS __h, x.doc_id AS doc_id, x.size AS size, x.__key AS __key, {p} AS __p)"
-    kept = "struct(s.rest.__h AS __h, s.rest.doc_id AS doc_id, s.rest.size AS size, s.rest.__key AS __key, {p} AS __p)"
+    item = "struct(" + ", ".join(f"x.{f} AS {f}" for f in FIELDS) + ", {p} AS __p)"
+    kept = "struct(" + ", ".join(f"s.rest.{f} AS {f}" for f in FIELDS) + ", {p} AS __p)"
     # u words may leave the rest for x, v words may leave x for the rest, until one of the two is 0 or 1
     u = "least(s.rest.__p * s.rest.size, (1 - x.__p) * x.size)"
     v = "least(x.__p * x.size, (1 - s.rest.__p) * s.rest.size)"
@@ -97,25 +113,29 @@ def step(seed: int):
     )
 
 
-def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, fan: int = FAN, seed: int = 42) -> DataFrame:
-    """rows (of sizes(); staged) -> doc_id, size, source_size, target, taken, copies, source, __key."""
-    goals = stage(targets(rows, weights, cap), "targets")
+def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, fan: int = FAN, seed: int = 42) -> DataFrame:
+    """rows (of sizes()) -> doc_id, source, size, __key, rows, source_size, target, __base and __more: each of the rows
+    is taken __base times, __more of them once more."""
+    items = stage(items_of(rows), "items")
+    goals = stage(targets(items, weights, cap), "targets")
     few = goals.count() <= 100_000
     goal = F.broadcast(goals) if few else goals
-    largest = goals.agg(F.max("docs")).first()[0] or 0
-    same = rows["source"].eqNullSafe(goals["source"])
+    largest = goals.agg(F.max("items")).first()[0] or 0
+    same = items["source"].eqNullSafe(goals["source"])
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    todo = rows.join(goal, same).select(rows["doc_id"], rows["source"], "size", "__key", "docs", "source_size", "target", F.floor(factor).alias("__base"), (factor - F.floor(factor)).alias("__p"))
-    common = ["source", "docs", "source_size", "target", "__base"]
-    done = [todo.filter((F.col("size") == 0) | (F.col("__p") <= 0)).withColumn("__x", F.lit(0.0)).drop("__p")]
+    more = F.col("rows") * (factor - F.floor(factor))
+    todo = items.join(goal, same).select(items["doc_id"], items["source"], "size", "__key", "rows", "items", "source_size", "target", F.floor(factor).alias("__base"), F.floor(more).alias("__sure"), (more - F.floor(more)).alias("__p"))
+    common = ["source", "items", "source_size", "target", "__base"]
+    own = [f for f in FIELDS if f != "__h"]
+    done = [todo.filter((F.col("size") == 0) | (F.col("__p") <= 0)).withColumn("__x", F.lit(0.0)).select(*common, *own, "__x")]
     todo = todo.filter((F.col("size") > 0) & (F.col("__p") > 0))
     level, blocks = 0, largest
     while True:
         level += 1
         blocks = -(-blocks // fan)
-        # every source has blocks in proportion to its documents at this level
-        part = F.greatest(F.ceil(F.col("docs") / F.lit(float(fan) ** level)), F.lit(1))
-        item = F.struct(F.xxhash64("doc_id", "__key", F.lit(seed)).alias("__h"), "doc_id", "size", "__key", "__p")
+        # every source has blocks in proportion to its items at this level
+        part = F.greatest(F.ceil(F.col("items") / F.lit(float(fan) ** level)), F.lit(1))
+        item = F.struct(F.xxhash64("doc_id", "__key", F.lit(seed)).alias("__h"), *own, "__p")
         grouped = (
             todo.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__key", "size", F.lit(seed + level)), part))
             .groupBy(*common, "__block")
@@ -123,34 +143,59 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, f
         )
         folded = grouped.select(*common, F.expr(step(seed)).alias("__s"))
         folded = stage(folded, f"level{level}")
-        decided = folded.select(*common, F.explode("__s.done").alias("__d")).select(*common, "__d.doc_id", "__d.size", "__d.__key", F.col("__d.__p").alias("__x"))
+        decided = folded.select(*common, F.explode("__s.done").alias("__d")).select(*common, *[f"__d.{f}" for f in own], F.col("__d.__p").alias("__x"))
         done.append(decided)
-        todo = folded.filter(F.col("__s.rest").isNotNull()).select(*common, "__s.rest.doc_id", "__s.rest.size", "__s.rest.__key", "__s.rest.__p")
+        todo = folded.filter(F.col("__s.rest").isNotNull()).select(*common, *[f"__s.rest.{f}" for f in own], "__s.rest.__p")
         if blocks <= 1:
             break
-    # one undecided document of each source is left: chance decides it alone
-    last = todo.withColumn("__x", (uniform(F.col("__key"), F.col("doc_id"), F.lit(seed)) < F.col("__p")).cast("double")).drop("__p")
+    # one undecided item of each source is left: chance decides it alone
+    last = todo.withColumn("__x", (uniform(F.col("__key"), F.col("doc_id"), F.lit(seed)) < F.col("__p")).cast("double")).select(*common, *own, "__x")
     out = done[0]
     for d in [*done[1:], last]:
         out = out.unionByName(d)
-    copies = (F.col("__base") + F.round("__x")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "__key")
+    return out.select("doc_id", "source", "size", "__key", "rows", "source_size", "target", "__base", (F.col("__sure") + F.round("__x")).cast("long").alias("__more"))
+
+
+def repeated(rows: DataFrame, times: str, number: str, most: int) -> DataFrame:
+    """Each row as often as the column times says, numbered from 1.  Rows with very many repeats (most: the greatest number)
+    are dealt to all tasks in parts."""
+    (part,) = free_names(rows, "__part")
+    parts = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / TOGETHER))))
+    if most > MANY:
+        parts = parts.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, min(most // MANY * 4, 1 << 15)))
+    ends = F.col(part) * TOGETHER + 1, F.least(F.col(times), (F.col(part) + 1) * TOGETHER)
+    return parts.withColumn(number, F.explode(F.sequence(*ends))).drop(part)
+
+
+def mix(rows: DataFrame, **options) -> DataFrame:
+    """rows (of sizes()) -> doc_id, size, source_size, target, taken, copies, source, __key: a row each."""
+    decided = decide(rows, **options)
+    most = decided.agg(F.max("rows")).first()[0] or 0
+    each = repeated(decided, "rows", "__i", most) if most > 1 else decided.withColumn("__i", F.lit(1))
+    copies = F.col("__base") + (F.col("__i") <= F.col("__more")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "__key")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    return mix(stage(sizes(docs), "sizes"), **options)
+    return mix(sizes(docs), **options)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it.  Equal rows of one doc_id share their copies."""
-    copies = mix_documents(docs, **options).groupBy("doc_id", "source", "__key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    copies = stage(copies.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("__key").alias("__k"), "__copies", "__rows"), "copies")
-    if not copies.filter("__rows > 1").isEmpty():
-        order = Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0))
-        docs = docs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & docs["source"].cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__k"))
-    taken = docs.join(copies.filter("__copies > 0"), same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__doc", "__source", "__k", "__copies", "__rows", "__copy")
+    """docs with each row as often as the mix takes it.  Equal rows of one doc_id and source share their copies: one of
+    them stands for all, if they differ in further columns the one with the least hash."""
+    doc, source, key, rows, copies, number = free_names(docs, "__doc", "__source", "__k", "__rows", "__copies", "__i")
+    total = F.col("__base") * F.col("rows") + F.col("__more")
+    taken = decide(sizes(docs), **options).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("__key").alias(key), F.col("rows").alias(rows), total.alias(copies))
+    taken = stage(taken.filter(F.col(copies) > 0), "copies")
+    same = docs["doc_id"].cast("long").eqNullSafe(taken[doc]) & docs["source"].cast("string").eqNullSafe(taken[source]) & (F.xxhash64(docs["text"]) == taken[key])
+    once = docs.join(taken.filter(taken[rows] == 1), same)
+    out = once.drop(doc, source, key, rows)
+    again = taken.filter(taken[rows] > 1)
+    if not again.isEmpty():
+        found = docs.join(again, same)
+        out = out.unionByName(one_row_each(found, *[F.col(c) for c in (doc, source, key)]).drop(doc, source, key, rows))
+    most = taken.agg(F.max(copies)).first()[0] or 0
+    return repeated(out, copies, number, most).drop(copies, number) if most > 1 else out.drop(copies)
 
 
 def op7_mixing(spark, sf_dir):

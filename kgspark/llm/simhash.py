@@ -20,8 +20,9 @@ shared folder; nothing of the corpus reaches the driver but counts.
 
 Cases: no words (null, empty, blank): fingerprint 0, linked like any other.  Fewer words than a shingle:
 the whole sequence is the one shingle.  Null doc_id: such a document takes part; component_id is the
-smallest doc_id that is not null, or null if there is none.  Repeated rows: a row each.  Very long texts:
-hashed in blocks, so memory is bounded by the text itself.
+smallest doc_id that is not null, or null if there is none.  Repeated rows: a row each.  Ties: exactly half of the
+hashes with a bit leave it 0.  Empty table: no rows.  Very long texts: hashed in blocks, so memory is bounded by the
+text itself.  Columns but doc_id and text, whatever their names, are not read; deduplicate() returns them as they are.
 
 Deduplication (deduplicate()) keeps one document of each group of similar sets of shingles.  There, candidates meet in the
 bands of a MinHash and each link is decided by the exact similarity of the two sets.
@@ -36,10 +37,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import ODD, arrow_rows, chunks, documents, mix, stage, texts_of
+from kgspark.llm.common import ODD, arrow_rows, chunks, documents, free_names, mix, one_row_each, stage, texts_of
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -527,16 +528,18 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFram
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest doc_id (nulls last; among
     equal ones the smallest text hash).  Of repeated rows one stays."""
-    found = stage(similar_groups(docs, **(SIMILAR | options)), "groups")
-    order = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", "key")
-    kept = found.groupBy("root").agg(F.min(order).alias("__k")).select(F.col("__k.doc_id").alias("__doc"), F.col("__k.key").alias("__key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    out = docs.join(kept, same, "left_semi")
-    if found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+    found = similar_groups(docs, **(SIMILAR | options)).groupBy("doc_id", "key").agg(F.min("root").alias("root"), F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")
+    doc, key, rows = free_names(docs, "__doc", "__key", "__rows")
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(doc), F.col("k.key").alias(key), F.col("k.rows").alias(rows))
+    kept = stage(kept, "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept[doc]) & (F.xxhash64(docs["text"]) == kept[key])
+    out = docs.join(kept.filter(kept[rows] == 1), same, "left_semi")
+    repeated = kept.filter(kept[rows] > 1)
+    if repeated.isEmpty():
         return out
-    out = out.withColumn("__key", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
-    return out.withColumn("__n", first).filter("__n = 1").drop("__n", "__key")
+    again = docs.join(repeated, same, "left_semi")
+    return out.unionByName(one_row_each(again, again["doc_id"].cast("long"), F.xxhash64(again["text"])))
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

@@ -3,10 +3,12 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-#: The columns of documents, and some more whose names the operators use for their own results.
+#: Names that the operators use for their own results, and inside.
+MORE = ["score", "size", "fp", "key", "shard", "piece", "length", "member", "target", "__key", "__n", "__path", "__doc", "__source", "__k", "__rows", "__copies", "__copy", "__i", "__part", "__row", "__bin", "k0", "row", "hash"]
+#: The columns of documents, and some more.
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("score", "size", "fp", "key", "shard", "piece", "length", "member", "target")]
+    + [T.StructField(c, T.StringType()) for c in MORE]
 )
 
 
@@ -15,7 +17,7 @@ def words(rng, n):
 
 
 def row(doc_id, text, source="a"):
-    return (doc_id, text, "en", source, None if text is None else len(text), *["x"] * 9)
+    return (doc_id, text, "en", source, None if text is None else len(text), *["x"] * len(MORE))
 
 
 @pytest.fixture(scope="session")
