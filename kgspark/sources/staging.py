@@ -13,10 +13,13 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset (a single machine), a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, else the folder given to SparkContext.setCheckpointDir, else, on a single machine, a folder
+    of our own.  On a cluster there must be one that all machines share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kgspark-")
@@ -38,11 +41,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what stage() has written for this session; results that still read it become unusable."""
+def staged_paths(spark: SparkSession) -> list[str]:
+    return [p for owner, p in _staged if owner is spark]
+
+
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what stage() has written for this session, or these paths of it; results that still read them become
+    unusable."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for owner, path in [x for x in _staged if x[0] is spark]:
+    for owner, path in [x for x in _staged if x[0] is spark and (paths is None or x[1] in paths)]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
         _staged.remove((owner, path))
