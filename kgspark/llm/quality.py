@@ -1,17 +1,20 @@
 """Quality scores from supervised subword embeddings.
 
-Method: every word, every pair of neighbouring words (all pairs of a word with itself are one) and every
-run of 3 or 4 code points of a word (with its ends marked) has a learned vector, found by hash.  A document is the mean of its vectors; a softmax
+Method: every word, every pair of neighbouring words (all pairs of a word with itself are one, a feature made by hand for
+one kind of junk) and every run of 3 or 4 code points of a word (with its ends marked) has a learned vector, found by
+hash.  A document is the mean of its vectors; a softmax
 layer gives the probability of label 1.  Trained by numpy stochastic gradient descent.  Since a mean and
 a softmax layer for two labels are linear up to the last step, the trained model is folded into one
 number for each hash before it is sent to executors (FEATURES floats: 1 MB, whatever the input).
 
 Labels are learnt from at most `max_rows` documents (chosen by hash of doc_id) among those that
-held_out() leaves; the features are the text alone.
+held_out() leaves, none of them longer than LONGEST bytes; so what reaches the driver is bounded.  The features are
+the text alone.
 
-Cases: null, empty or blank text: the score of the bias alone.  Rows without a label, or with a null one,
-are scored only.  No usable label at all: 0.5 for every text.  Repeated labels: each counts.  Repeated rows: a
-row each.  Very long texts: whole, in one chunk.
+Cases: null, empty or blank text: the score of the bias alone.  Null doc_id: scored, never learnt from.  Rows without a
+label, or with a null one, are scored only.  No usable label at all: 0.5 for every text.  Repeated labels: each counts.
+Repeated rows: a row each.  Ties: a score equal to the threshold is predicted 1.  Empty table: no rows.  Very long
+texts: whole, in one chunk.  Columns but doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ FEATURES = 1 << 18
 DIMENSIONS = 8
 RUNS = (3, 4)
 MAX_ROWS = 4000
+#: Bytes of the longest text that is learnt from.
+LONGEST = 1 << 17
 #: The feature that all pairs of one word with itself share.
 REPEAT = 0
 THRESHOLD = 0.3
@@ -94,6 +99,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -30, 30)))
 
 
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct features, how often each occurs) of every text."""
+    out = []
+    for at in range(0, len(texts), 64):
+        t = Text.of(pa.array(texts[at : at + 64], pa.large_string()))
+        keys = [t.pair_row * FEATURES + t.pair]
+        if t.words:
+            owner, feature = subwords(t.words)
+            feature = feature[np.argsort(owner, kind="stable")]
+            sizes = np.bincount(owner, minlength=len(t.words))
+            first = np.cumsum(sizes) - sizes
+            each = sizes[t.word]
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            keys.append(np.repeat(t.row, each) * FEATURES + feature[np.repeat(first[t.word], each) + place])
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        cuts = np.searchsorted(found, np.arange(1, t.rows) * FEATURES)
+        out += list(zip((f % FEATURES for f in np.split(found, cuts)), np.split(n, cuts)))
+    return out
+
+
 def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 500, batch: int = 32, rate: float = 20.0, seed: int = 7) -> Model:
     """Stochastic gradient descent on the cross entropy; the rate falls to 0 in proportion.  Small samples get
     more epochs, up to least_steps batches."""
@@ -105,32 +130,28 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (FEATURES, DIMENSIONS))
     layer, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.log(np.array([(y == 0).sum() + 1.0, (y == 1).sum() + 1.0]) / (len(y) + 2))
     one_hot = np.eye(2)[y.astype(int)]
+    documents = counted(texts)
     steps, step = epochs * -(-len(y) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
-            t = Text.of(pa.array([texts[i] for i in rows], pa.large_string()))
-            if not t.words:
+            sizes = [len(documents[i][0]) for i in rows]
+            if not sum(sizes):
                 continue
-            owner, feature = subwords(t.words)
-            # a batch's features with their numbers of occurrences in each document
-            sizes = np.bincount(owner, minlength=len(t.words))
-            used, own = np.unique(np.concatenate([feature, t.pair]), return_inverse=True)
-            own_word, own_pair = own[: len(feature)], own[len(feature) :]
-            count = sums_by(t.row, sizes[t.word], t.rows) + sums_by(t.pair_row, np.ones(len(t.pair)), t.rows)
-            count = np.maximum(count, 1)[:, None]
+            row = np.repeat(np.arange(len(rows)), sizes)
+            used, own = np.unique(np.concatenate([documents[i][0] for i in rows]), return_inverse=True)
+            times = np.concatenate([documents[i][1] for i in rows]).astype(np.float64)
+            share = times / np.maximum(sums_by(row, times, len(rows)), 1)[row]
             v = vectors[used]
-            word = np.stack([sums_by(owner, v[own_word, d], len(t.words)) for d in range(DIMENSIONS)], axis=1)
-            mean = np.stack([sums_by(t.row, word[t.word, d], t.rows) + sums_by(t.pair_row, v[own_pair, d], t.rows) for d in range(DIMENSIONS)], axis=1) / count
+            mean = np.stack([sums_by(row, v[own, d] * share, len(rows)) for d in range(DIMENSIONS)], axis=1)
             z = mean @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             error = (p - one_hot[rows]) / len(rows)
             now = rate * (1 - step / steps)
-            back = error @ layer.T / count
-            grad_word = np.stack([sums_by(t.word, back[t.row, d], len(t.words)) for d in range(DIMENSIONS)], axis=1)
-            grad = np.stack([sums_by(own_word, grad_word[owner, d], len(used)) + sums_by(own_pair, back[t.pair_row, d], len(used)) for d in range(DIMENSIONS)], axis=1)
+            back = error @ layer.T
+            grad = np.stack([sums_by(own, back[row, d] * share, len(used)) for d in range(DIMENSIONS)], axis=1)
             layer -= now * 0.1 * mean.T @ error
             bias -= now * 0.01 * error.sum(axis=0)
             vectors[used] = v - now * grad
@@ -138,6 +159,25 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most max_rows labelled documents that are not held out.  The doc_ids are
+    chosen first, so only chosen texts travel; of repeated ones no more than max_rows in all."""
+    chosen = (
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("__y"))
+        .filter(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "__y")
+        .limit(max_rows)
+        .collect()
+    )
+    if not chosen:
+        return [], []
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, __y int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= LONGEST)
+    # at most max_rows ids
+    found = rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "__y", F.xxhash64("text")).limit(max_rows).select("text", "__y").toArrow()
+    return found.column("text").to_pylist(), found.column("__y").to_pylist()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most max_rows labelled documents that are not held out.  The doc_ids are
     chosen first, so only chosen texts travel."""

@@ -6,9 +6,13 @@ FTRL-proximal: each feature has its own rate, which falls with its gradients so
 keeps weights at 0 until the evidence exceeds it.  What is sent to executors is the list of non-zero
 weights (bounded by the training sample, not by the input).
 
-Labels are learnt from at most `max_rows` documents among those that held_out() leaves; the features are
-the text alone.  Null, empty or blank text: the score of the bias.  No usable label: 0.5 for every text.
-Rows without a label are scored only; repeated rows a row each; very long texts whole.
+Labels are learnt from at most `max_rows` documents among those that held_out() leaves, none of them longer than
+quality.LONGEST bytes; the features are the text alone.
+
+Cases: null, empty or blank text: the score of the bias.  Null doc_id: scored, never learnt from.  No usable label: 0.5
+for every text.  Rows without a label are scored only.  Repeated labels: each counts.  Repeated rows: a row each.  Ties: a
+score equal to the threshold is predicted 1.  Empty table: no rows.  Very long texts: whole.  Columns but doc_id and
+text, whatever their names, are not read.
 """
 
 from __future__ import annotations

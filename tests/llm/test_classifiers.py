@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -58,6 +59,73 @@ def test_ftrl_finds_the_words_and_is_sparse():
     assert s[0] > 0.5 > s[1] and len(model.feature) < 500
 
 
+def test_features_are_counted():
+    """Distinct features of each text with their numbers, against one word and one run after another."""
+    texts = ["ab Ab cde ab ab", "", "x", "cde ab"]
+    for text, (feature, n) in zip(texts, quality.counted(texts)):
+        words, want = text.split(), {}
+        for w in words:
+            marked = f"<{w}>"
+            found = [quality.fold(quality.hash_words([w]))[0]]
+            for size in quality.RUNS:
+                for at in range(len(marked) - size + 1):
+                    h = np.array([size], dtype=np.uint64)
+                    for c in marked[at : at + size]:
+                        h = (h ^ np.uint64(ord(c))) * quality.ODD
+                        h ^= h >> np.uint64(29)
+                    found.append(quality.fold(quality.mix(h))[0])
+            for f in found:
+                want[int(f)] = want.get(int(f), 0) + 1
+        for a, b in zip(words, words[1:]):
+            ha, hb = quality.hash_words([a]), quality.hash_words([b])
+            f = quality.REPEAT if a == b else int(quality.fold(quality.mix(ha * quality.MIX[0] + hb))[0])
+            want[f] = want.get(f, 0) + 1
+        assert dict(zip(feature.tolist(), n.tolist())) == want
+
+
+def plain_quality(model, text):
+    """The score of one text, feature by feature."""
+    ((feature, n),) = quality.counted([text])
+    z = model.bias + (float((model.weights[feature].astype(float) * n).sum()) / n.sum() if len(n) else 0.0)
+    return 1 / (1 + np.exp(-z))
+
+
+def plain_toxicity(model, text):
+    """The score of one text from the set of its words, pairs and pairs over a gap."""
+    words = [toxicity.MARKS.sub("", w).lower() or w for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    weight = dict(zip(model.feature.tolist(), model.weight.tolist()))
+    h = [toxicity.hash_words([w]) for w in words]
+    found = {int(x[0]) for x in h}
+    for gap in (1, 2):
+        found |= {int(toxicity.mix(a * toxicity.MIX[gap - 1] + b + np.uint64(gap))[0]) for a, b in zip(h, h[gap:])}
+    features = {f & (toxicity.FEATURES - 1) for f in found}
+    return 1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(f, 0.0) for f in features), -30, 30)))
+
+
+@pytest.mark.parametrize(("module", "query", "plain"), [(quality, "op5_quality_classifier", plain_quality), (toxicity, "op6_toxicity", plain_toxicity)])
+def test_query_against_brute_force(spark, module, query, plain):
+    """Every score of the query recomputed, text by text, from the trained weights."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = module.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    rows = getattr(module, query)(spark, sf).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        assert abs(r["score"] - plain(model, texts[r["doc_id"]])) < 1e-5
+        assert r["predicted"] == (r["score"] >= module.THRESHOLD) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_long_and_repeated_documents_are_bounded(spark, monkeypatch):
+    """Repeats of a labelled doc_id don't add rows beyond the bound; texts too long are not learnt from."""
+    monkeypatch.setattr(quality, "LONGEST", 50)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "some words") for i in ids[:10] for _ in range(20)] + [(i, "w" * 51) for i in ids[10:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts, y = quality.labelled(docs, labels, "quality", 30)
+    assert len(texts) == len(y) == 30 and set(texts) == {"some words"}
+
+
 def test_folded_model_equals_the_mean_of_vectors():
     model = quality.Model(np.random.default_rng(1).normal(size=quality.FEATURES).astype(np.float32), 0.3)
     text = "ab Ab cde ab"
