@@ -213,3 +213,28 @@ def effect_label(d: float) -> str:
     """Cohen's words for the size of an effect."""
     size = abs(d)
     return "negligible" if size < 0.2 else "small" if size < 0.5 else "medium" if size < 0.8 else "large"
+
+
+def shuffled(places: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where a pseudo-random permutation of 0 ... n - 1, chosen by the key, moves these places.  Four rounds of a Feistel
+    network on the smallest rectangle with room for n; what falls outside goes round again."""
+    rows = max(1, math.isqrt(n))
+    columns = -(-n // rows)
+    rounds = [np.uint64(((key * 4 + r + 1) * 0x9E3779B97F4A7C15) % 2**64) for r in range(4)]
+
+    def word(x: np.ndarray, k: np.uint64) -> np.ndarray:
+        x = (x + k) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+    out = np.asarray(places, dtype=np.uint64).copy()
+    open_ = np.arange(len(out))
+    while len(open_):
+        a, b = out[open_] % np.uint64(rows), out[open_] // np.uint64(rows)
+        for r in (0, 2):
+            a = (a + word(b, rounds[r]) % np.uint64(rows)) % np.uint64(rows)
+            b = (b + word(a, rounds[r + 1]) % np.uint64(columns)) % np.uint64(columns)
+        moved = b * np.uint64(rows) + a
+        out[open_] = moved
+        open_ = open_[moved >= n]
+    return out.astype(np.int64)

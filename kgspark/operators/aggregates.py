@@ -56,6 +56,32 @@ def union_of_lists(rows: DataFrame, keys: list[str], items: str) -> DataFrame:
     return flat.groupBy(*keys).agg(F.array_sort(F.collect_set("__x")).alias(items))
 
 
+def path_summary(members: DataFrame) -> DataFrame:
+    """One row over the paths (path_id, drug, disease, node): paths, pairs, mean, least and greatest number of nodes, both
+    ends among them."""
+    each = members.groupBy("path_id").agg(F.min(F.struct("drug", "disease")).alias("pair"), (F.countDistinct("node") + 2).alias("n"))
+    return each.agg(F.count("*").alias("paths"), F.countDistinct("pair").alias("pairs"), F.round(F.avg("n"), 6).alias("mean_nodes"), F.min("n").alias("least_nodes"), F.max("n").alias("most_nodes"))
+
+
+def frequent(df: DataFrame, column: str, name: str, k: int) -> DataFrame:
+    """The k most frequent values with their numbers and ranks."""
+    counted = df.groupBy(column).agg(F.count("*").alias(name)).orderBy(F.col(name).desc(), column).limit(k)
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.col(name).desc(), column)))  # k rows
+
+
+def report_lines(df: DataFrame, by: list[str], what: str, number: str, share: str) -> DataFrame:
+    """Lines of a text report, numbered within their group: what it is, how many, and which share in percent."""
+    order = Window.partitionBy(*by).orderBy(F.col(number).desc(), what)
+    text = F.concat(F.col(what), F.lit(": "), F.col(number).cast("string"), F.lit(" ("), F.round(share, 2).cast("string"), F.lit(" %)"))
+    return df.select(*by, F.row_number().over(order).alias("line"), text.alias("text"))
+
+
+def summary_of_groups(df: DataFrame, by: list[str], value: str, large: int) -> DataFrame:
+    """One row over the summaries of all groups."""
+    each = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("m"))
+    return each.agg(F.count("*").alias("groups"), F.count_if(F.col("n") >= large).alias("large"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.median("m"), 6).alias("median_of_means"), F.max("n").alias("most_rows"))
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     x = F.col(value)
     return df.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.round(F.stddev_pop(x), 6).alias("sd_population"), F.round(F.median(x), 6).alias("median"), F.min(x).alias("least"), F.max(x).alias("greatest"))

@@ -30,6 +30,40 @@ def all_scores(queries: DataFrame, entities: DataFrame, digits: int = 6) -> Data
     return e.join(side, F.lit(True)).select("query_id", "tail", F.round(dot("__q", "__e"), digits).alias("score"))
 
 
+#: Rows of a block of queries, and of entities, that one task multiplies.
+QUERY_ROWS, ENTITY_ROWS = 4096, 1 << 16
+
+
+def best_tails(queries: DataFrame, entities: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """query_id, tail, score, rank: the k entities (id, vector) with the greatest inner product with each query (query_id,
+    vector), ties by id.  Blocks of both sides meet in one task each, multiply as matrices and report k rows a query, so what
+    is shuffled after that doesn't grow with queries times entities."""
+    sides = [-(-max(df.count(), 1) // rows) for df, rows in ((queries, QUERY_ROWS), (entities, ENTITY_ROWS))]
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select(F.col(key).alias("id"), "vector", F.pmod(F.xxhash64(key), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    q = dealt(queries, "query_id", "qb", sides[0], "eb", sides[1]).groupBy("qb", "eb")
+    e = dealt(entities, "id", "eb", sides[1], "qb", sides[0]).groupBy("qb", "eb")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "tail": [], "score": []}).astype({"query_id": "int64", "tail": "int64", "score": "float64"})
+        b = b.sort_values("id")
+        ids = b["id"].to_numpy()
+        right = np.stack(b["vector"].to_numpy()).astype(float).T
+        out = []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            scores = np.round(np.stack(part["vector"].to_numpy()).astype(float) @ right, digits)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), best.shape[1]), "tail": ids[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()}))
+        return pd.concat(out)
+
+    found = q.cogroup(e).applyInPandas(run, "query_id long, tail long, score double")
+    return top_k(found, ["query_id"], k, F.col("score").desc(), F.col("tail"))
+
+
 def rank_tails(scores: DataFrame, truth: DataFrame, known: DataFrame, ties: str = "ordinal") -> DataFrame:
     """Filtered rank of the true tail of each query: scores (query_id, tail, score), truth (query_id, tail),
     known (query_id, tail): other true tails, which don't count.  ordinal: 1 + better ones; pessimistic:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import two_sample as T
-from kgspark.operators.ranking import running_sums
+from kgspark.operators.ranking import global_rank, running_sums
+from kgspark.sources.staging import stage
 
 
 def mad_outliers(rows: DataFrame, group: list[str], value: str, times: float = 3.0) -> DataFrame:
@@ -60,8 +61,6 @@ def ks_statistic(rows: DataFrame, value: str, flag: str, digits: int = 6) -> Dat
 
 REPORT = "group string, n_on long, n_off long, shapiro_on double, shapiro_on_p double, shapiro_off double, shapiro_off_p double, levene double, levene_p double, t double, t_p double, welch boolean, u double, u_p double, ks double, ks_p double, cohens_d double, effect string, dip double, dip_tail double"
 MOST_NORMALITY = 5000
-#: Rows whose flags permutation_test() shuffles: 17 bytes each in every task.
-MOST_PERMUTED = 5_000_000
 
 
 def distribution_report(rows: DataFrame, group: str, value: str, flag: str) -> DataFrame:
@@ -92,49 +91,131 @@ def distribution_report(rows: DataFrame, group: str, value: str, flag: str) -> D
     return rows.select(F.col(group).cast("string"), value, flag).groupBy(group).applyInPandas(run, REPORT)
 
 
-def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutations: int = 1000, seed: int = 42) -> DataFrame:
+#: Rows of a block of permutation_test(), about.
+BLOCK_ROWS = 500_000
+#: The most blocks a table is cut into; what blocks report reaches the driver (numbers: blocks x permutations).
+MOST_BLOCKS = 1000
+
+
+def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutations: int = 1000, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Do flagged rows score higher than chance would have it?  The flag is shuffled over all rows; the
-    differences of means and medians are two-sided, U, mean reciprocal rank and average precision one-sided.
-
-    Permutations are dealt over tasks, and each needs all (score, test, flag) rows of the result being tested: they
-    are broadcast as arrays, at most MOST_PERMUTED of them; larger results are to be tested in parts."""
-    spark = rows.sparkSession
-    if rows.limit(MOST_PERMUTED + 1).count() > MOST_PERMUTED:
-        raise ValueError(f"more than {MOST_PERMUTED} rows; test the result in parts")
-    local = rows.select(F.col(test).cast("string").alias("test"), F.col(value).cast("double").alias("value"), F.col(flag).cast("int").alias("flag")).orderBy("test", "value", "flag").toPandas()
-    codes = local["test"].astype("category").cat.codes.to_numpy()
-    sent = spark.sparkContext.broadcast((codes, local["value"].to_numpy(), local["flag"].to_numpy()))
-
-    def statistics(codes, x, on) -> dict[str, float]:
-        if not on.any() or on.all():
-            return {}
-        order = np.lexsort((-x, codes))
-        start = np.r_[True, codes[order][1:] != codes[order][:-1]]
-        first = np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))
-        rank = np.arange(len(x)) - first + 1
-        hit = on[order]
-        before = np.cumsum(hit)
-        k = before - (before - hit)[first]
-        precision = pd.Series(np.where(hit, k / rank, np.nan)).groupby(codes[order]).mean().dropna()
-        reciprocal = pd.Series(np.where(hit, 1.0 / rank, np.nan)).groupby(codes[order]).max().dropna()
-        a, b = x[on], x[~on]
-        ranks = T.average_ranks(x)
-        return {"mean_difference": a.mean() - b.mean(), "median_difference": float(np.median(a) - np.median(b)), "mrr": reciprocal.mean(), "map": precision.mean(), "u": float(ranks[on].sum() - len(a) * (len(a) + 1) / 2), "ks": T.ks_two_sample(a, b)[0]}
-
-    def run(parts):
-        codes, x, flags = sent.value
-        for pdf in parts:
-            out = []
-            for i in pdf["id"]:
-                shuffled = flags if i == 0 else np.random.default_rng([seed, int(i)]).permutation(flags)
-                out += [(int(i), m, float(v)) for m, v in statistics(codes, x, shuffled == 1).items()]
-            yield pd.DataFrame(out, columns=["id", "metric", "value"])
-
-    each = spark.range(0, permutations + 1, 1, min(permutations, 32)).mapInPandas(run, "id long, metric string, value double")
-    observed = each.filter("id = 0").select("metric", F.col("value").alias("observed"))
+    differences of means and medians are two-sided, U, mean reciprocal rank, average precision and KS one-sided.
+
+    The table is ranked once by value and once by (test, value descending) and cut into blocks of consecutive ranks.  A
+    permutation is a function of a row's rank, so each block knows its flags under every permutation without a shuffle of
+    rows.  Sums add up over blocks; what needs an order (medians, KS, ranks within a test that spans blocks) takes the
+    counts of the blocks before as its start, in a second pass.  No task holds more than a block."""
+    base = rows.select(F.col(test).cast("string").alias("t"), F.col(value).cast("double").alias("x"), (F.col(flag).cast("int") == 1).alias("f"))
+    by_value = global_rank(stage(base, "permuted"), "x", "t", "f", name="v")
+    ranked = stage(global_rank(by_value, "t", F.col("x").desc(), "f", "v", name="s").withColumns({"v": F.col("v") - 1, "s": F.col("s") - 1}), "ranked")
+    n, flagged = ranked.agg(F.count("*"), F.count_if("f")).first()
+    schema = "id long, metric string, value double"
+    if not flagged or flagged == n:
+        return rows.sparkSession.createDataFrame([], "metric string, observed double, mean_permuted double, p double")
+    size = max(block_rows, -(-n // MOST_BLOCKS))
+    blocks = -(-n // size)
+    parts = max(1, min(32 // blocks, permutations + 1))
+    ids = [np.arange(permutations + 1)[p::parts] for p in range(parts)]
+
+    def each(df: DataFrame, column: str, work, ddl: str) -> DataFrame:
+        """work(block's number, its rows in order, permutation -> flags, numbers of permutations) for every block."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(column)
+            own, places = pdf["f"].to_numpy(dtype=bool), pdf["s"].to_numpy()
+            return pd.DataFrame(work(int(pdf["block"].iloc[0]), pdf, lambda i: own if i == 0 else T.shuffled(places, n, seed * 1_000_003 + i) < flagged, ids[int(pdf["part"].iloc[0])].tolist()), columns=[c.split()[0] for c in ddl.split(", ")])
+
+        dealt = df.withColumn("block", F.floor(F.col(column) / size)).withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(parts)])))
+        return dealt.groupBy("block", "part").applyInPandas(run, ddl)
+
+    def table(found: DataFrame, name: str) -> np.ndarray:
+        """[permutation, block] of a reported number."""
+        out = np.zeros((permutations + 1, blocks))
+        for batch in found.select("id", "block", name).toLocalIterator(prefetchPartitions=True):
+            out[batch[0], batch[1]] = batch[2]
+        return out
+
+    # by value: sums of values and ranks, then medians and KS
+    ties = ranked.groupBy("x").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    values = stage(ranked.join(ties, "x"), "values")
+
+    def sums(block, pdf, flags, some):
+        x, rank = pdf["x"].to_numpy(), (pdf["low"].to_numpy() + pdf["high"].to_numpy()) / 2 + 1
+        return [(i, block, float(on.sum()), x[on].sum(), rank[on].sum(), x.sum()) for i in some for on in [flags(i)]]
+
+    first = stage(each(values, "v", sums, "id long, block long, on double, sum_x double, sum_rank double, all_x double"), "sums")
+    on = table(first, "on")
+    before = rows.sparkSession.sparkContext.broadcast(np.cumsum(on, axis=1) - on)
+    middle = {"on": [(flagged - 1) // 2, flagged // 2], "off": [(n - flagged - 1) // 2, (n - flagged) // 2]}
+
+    def orders(block, pdf, flags, some):
+        x, ends, out = pdf["x"].to_numpy(), pdf["v"].to_numpy() == pdf["high"].to_numpy(), []
+        for i in some:
+            now = flags(i)
+            start = {"on": before.value[i, block], "off": block * size - before.value[i, block]}
+            gap = np.abs((start["on"] + np.cumsum(now)) / flagged - (start["off"] + np.cumsum(~now)) / (n - flagged))[ends]
+            out.append((i, "ks", float(gap.max()) if len(gap) else 0.0))
+            for side, mask in (("on", now), ("off", ~now)):
+                held = x[mask]
+                out += [(i, f"median_{side}", float(held[int(k - start[side])]) / 2) for k in middle[side] if 0 <= k - start[side] < len(held)]
+        return out
+
+    second = stage(each(values, "v", orders, schema), "orders")
+
+    # by test: the flagged rows before a block in the test that goes on into it, then precision and reciprocal ranks
+    starts = ranked.groupBy("t").agg(F.min("s").alias("start"), F.max("s").alias("end"))
+    tests = stage(ranked.join(starts, "t"), "tests")
+
+    def edges(block, pdf, flags, some):
+        start = pdf["start"].to_numpy()
+        last, whole = start == start[-1], float(start[0] == start[-1])
+        goes = float(pdf["end"].iloc[-1] > pdf["s"].iloc[-1])
+        return [(i, block, float(flags(i)[last].sum()) * goes, whole) for i in some]
+
+    third = stage(each(tests, "s", edges, "id long, block long, tail double, whole double"), "edges")
+    tail, whole = table(third, "tail"), table(third, "whole")
+    carry = np.zeros_like(tail)
+    for b in range(1, blocks):
+        carry[:, b] = np.where(tail[:, b - 1] + whole[:, b - 1] > 0, tail[:, b - 1] + whole[:, b - 1] * carry[:, b - 1], 0)
+    carried = rows.sparkSession.sparkContext.broadcast(carry)
+
+    def precisions(block, pdf, flags, some):
+        s, start, end = (pdf[c].to_numpy() for c in ("s", "start", "end"))
+        rank, out = s - start + 1, []
+        at = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+        inside = (start[at] >= s[0]) & (end[at] <= s[-1])
+        for i in some:
+            now = flags(i)
+            count = np.add.reduceat(now.astype(float), at)
+            held = np.cumsum(now) - np.repeat(np.cumsum(count) - count, np.diff(np.r_[at, len(s)]))
+            held = held + np.where(start < s[0], carried.value[i, block], 0)
+            precision = np.add.reduceat(np.where(now, held / rank, 0.0), at)
+            best = np.maximum.reduceat(np.where(now, 1.0 / rank, 0.0), at)
+            done = inside & (count > 0)
+            out.append((i, -1, float(done.sum()), float((precision[done] / count[done]).sum()), float(best[done].sum())))
+            out += [(i, int(start[at[j]]), float(count[j]), float(precision[j]), float(best[j])) for j in np.flatnonzero(~inside)]
+        return out
+
+    parts_of = stage(each(tests, "s", precisions, "id long, test long, hits double, precision double, best double"), "precisions")
+    spanning = parts_of.filter("test >= 0").groupBy("id", "test").agg(F.sum("hits").alias("h"), F.sum("precision").alias("p"), F.max("best").alias("b")).filter("h > 0")
+    whole_tests = parts_of.filter("test < 0").select("id", F.col("hits").alias("k"), "precision", "best")
+    together = whole_tests.unionByName(spanning.select("id", F.lit(1.0).alias("k"), (F.col("p") / F.col("h")).alias("precision"), F.col("b").alias("best"))).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("k", "precision", "best")])
+
+    total = first.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("sum_x", "sum_rank", "all_x")])
+    medians = second.groupBy("id").pivot("metric", ["ks", "median_on", "median_off"]).agg(F.struct(F.max("value").alias("most"), F.sum("value").alias("sum")))
+    wide = total.join(medians, "id").join(together, "id").select(
+        "id",
+        F.expr(
+            f"""stack(6, 'mean_difference', sum_x / {flagged} - (all_x - sum_x) / {n - flagged}, 'median_difference', median_on.sum - median_off.sum,
+            'mrr', best / k, 'map', precision / k, 'u', sum_rank - {flagged} * ({flagged} + 1D) / 2, 'ks', ks.most) AS (metric, value)"""
+        ),
+    )
+    wide = stage(wide, "permutations")  # one row a permutation and metric
+    observed = wide.filter("id = 0").select("metric", F.col("value").alias("observed"))
     two_sided = F.col("metric").endswith("difference")
-    extreme = F.when(two_sided, F.abs("value") >= F.abs("observed")).otherwise(F.col("value") >= F.col("observed"))
-    return each.filter("id > 0").join(F.broadcast(observed), "metric").groupBy("metric").agg(F.max("observed").alias("observed"), F.avg("value").alias("mean_permuted"), (F.count_if(extreme) / F.count("*")).alias("p"))
+    slack = 1e-9 * (1 + F.abs("observed"))  # sums of one multiset in different orders
+    extreme = F.when(two_sided, F.abs("value") >= F.abs("observed") - slack).otherwise(F.col("value") >= F.col("observed") - slack)
+    return wide.filter("id > 0").join(F.broadcast(observed), "metric").groupBy("metric").agg(F.max("observed").alias("observed"), F.avg("value").alias("mean_permuted"), (F.count_if(extreme) / F.count("*")).alias("p"))
 
 
 def kde(rows: DataFrame, value: str, points: int = 500, digits: int = 9) -> DataFrame:

@@ -277,11 +277,46 @@ def test_shapiro_wilk(spark):
     assert (got["shapiro_on"], got["shapiro_off"]) == pytest.approx((0.900473, 0.959027), abs=1e-4)
 
 
-def test_permutation_finds_a_difference(spark):
+def plain_statistics(rows):
+    """The observed statistics, one row after another: rows (test, value, flag)."""
+    on, off = ([x for _, x, f in rows if f == want] for want in (1, 0))
+    xs = sorted(x for _, x, _ in rows)
+    rank = {x: (xs.index(x) + 1 + len(xs) - xs[::-1].index(x)) / 2 for x in set(xs)}
+    best, precision = [], []
+    for t in {t for t, _, _ in rows}:
+        flags = [f for _, f in sorted(((x, f) for u, x, f in rows if u == t), key=lambda r: (-r[0], r[1]))]
+        hits = [i + 1 for i, f in enumerate(flags) if f]
+        if hits:
+            best.append(1 / hits[0])
+            precision.append(np.mean([(k + 1) / i for k, i in enumerate(hits)]))
+    ks = max(abs(sum(a <= x for a in on) / len(on) - sum(a <= x for a in off) / len(off)) for x in xs)
+    return {"mean_difference": np.mean(on) - np.mean(off), "median_difference": np.median(on) - np.median(off), "mrr": np.mean(best), "map": np.mean(precision), "u": sum(rank[x] for x in on) - len(on) * (len(on) + 1) / 2, "ks": ks}
+
+
+@pytest.mark.parametrize("block_rows", [500_000, 23])
+def test_permutations(spark, block_rows):
+    """Also in blocks that cut through tests and ties: the same observed statistics and the same p."""
     rng = np.random.default_rng(1)
-    rows = [(f"t{i % 5}", float(rng.normal() + 2 * (i % 4 == 0)), int(i % 4 == 0)) for i in range(200)]
-    got = {r["metric"]: r for r in stats.permutation_test(spark.createDataFrame(rows, "t string, v double, f int"), "t", "v", "f", 200).collect()}
-    assert got["mean_difference"]["p"] < 0.02 and got["u"]["p"] < 0.02 and set(got) >= {"mrr", "map", "ks"}
+    rows = [("hot" if i % 3 == 0 else f"t{i % 7}", round(float(rng.normal() + 1.5 * (i % 4 == 0)), 1), int(i % 4 == 0)) for i in range(200)]
+    got = {r["metric"]: r for r in stats.permutation_test(spark.createDataFrame(rows, "t string, v double, f int"), "t", "v", "f", 200, block_rows=block_rows).collect()}
+    want = plain_statistics(rows)
+    assert got.keys() == want.keys()
+    for m, r in got.items():
+        assert r["observed"] == pytest.approx(want[m], abs=1e-9)
+    assert got["mean_difference"]["p"] < 0.02 and got["u"]["p"] < 0.02 and abs(got["mean_difference"]["mean_permuted"]) < 0.1
+    assert got["u"]["mean_permuted"] == pytest.approx(50 * 150 / 2, rel=0.03)
+
+
+def test_permutations_without_a_choice(spark):
+    for flags in ([], [0, 0], [1, 1]):
+        assert stats.permutation_test(spark.createDataFrame([("a", 1.0, f) for f in flags], "t string, v double, f int"), "t", "v", "f", 9).collect() == []
+
+
+def test_shuffles_are_permutations():
+    for n in (1, 2, 7, 100, 1013):
+        seen = [tests.shuffled(np.arange(n), n, k) for k in range(30)]
+        assert all(sorted(s.tolist()) == list(range(n)) for s in seen)
+    assert abs(np.mean([s[0] for s in seen]) / 1012 - 0.5) < 0.2 and len({tuple(s.tolist()) for s in seen}) == 30
 
 
 def test_mark_and_matrix(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import difference, duck
-from kgspark.plans.queries import ORACLE, QUERIES
+from kgspark.plans.files import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
