@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import entity_type, path_scores
+from kgspark.operators.ranking import top_k
 from kgspark.sources.staging import stage
 
 ENGINES = ("python", "pyg", "networkx", "igraph")
@@ -165,18 +166,26 @@ def path_stats(paths: DataFrame) -> DataFrame:
     return paths.groupBy("test_id").agg(F.count("*").alias("paths"), F.min(length).cast("long").alias("shortest"), F.max(length).cast("long").alias("longest"), F.round(F.avg(length), 6).alias("mean_length"))
 
 
-def khop_paths(links: DataFrame, tests: DataFrame, k: int, directed: bool = True) -> DataFrame:
+def khop_paths(links: DataFrame, tests: DataFrame, k: int, directed: bool = True, connecting: bool = False) -> DataFrame:
     """All paths of exactly k edges without repeated nodes from either test node, over links (source,
     relation, target, score): test_id, start_from, nodes, relations, edge_scores, connects, the four path
-    scores.  Repeated links of one (source, relation, target) are each walked."""
+    scores.  Repeated links of one (source, relation, target) are each walked.  With connecting only the paths from
+    head to tail are grown: none begins at the tail, none passes through it, and the last step is a join on it."""
     hop = links.select("test_id", F.col("source").alias("a"), "relation", F.col("target").alias("b"), F.coalesce("score", F.lit(0.0)).alias("score"))
     if not directed:
         hop = hop.unionByName(hop.select("test_id", F.col("b").alias("a"), "relation", F.col("a").alias("b"), "score"))
     empty_text, empty_score = F.array().cast("array<string>"), F.array().cast("array<double>")
     starts = tests.select("test_id", F.col("head").alias("__h"), F.col("tail").alias("__t"), F.explode(F.array(F.struct(F.lit("Test Head").alias("l"), F.col("head").alias("n")), F.struct(F.lit("Test Tail").alias("l"), F.col("tail").alias("n")))).alias("s"))
     front = starts.select("test_id", "__h", "__t", F.col("s.l").alias("start_from"), F.col("s.n").alias("__at"), F.array("s.n").alias("nodes"), empty_text.alias("relations"), empty_score.alias("edge_scores"))
-    for _ in range(k):
-        front = front.withColumnRenamed("__at", "a").join(hop, ["test_id", "a"]).filter(~F.array_contains("nodes", F.col("b")))
+    if connecting:
+        front = front.filter((F.col("start_from") == "Test Head") & (F.col("__h") != F.col("__t")))
+    for step in range(1, k + 1):
+        if connecting and step == k:
+            front = front.withColumn("b", F.col("__t")).withColumnRenamed("__at", "a").join(hop, ["test_id", "a", "b"])
+        else:
+            front = front.withColumnRenamed("__at", "a").join(hop, ["test_id", "a"]).filter(~F.array_contains("nodes", F.col("b")))
+            if connecting:
+                front = front.filter(F.col("b") != F.col("__t"))
         front = front.select("test_id", "__h", "__t", "start_from", F.col("b").alias("__at"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("edge_scores", F.array("score")).alias("edge_scores"))
     out = front.withColumn("connects", (F.element_at("nodes", 1) == F.col("__h")) & (F.col("__at") == F.col("__t"))).drop("__h", "__t", "__at")
     return out.withColumns(path_scores("edge_scores"))
@@ -201,5 +210,9 @@ def metapaths(paths: DataFrame, examples: int = 3) -> DataFrame:
     """Type sequences of connecting paths with counts, percentages and a few examples."""
     types = F.transform("nodes", lambda n: entity_type(n))
     m = paths.filter("connects").select("test_id", path_string(types, "relations").alias("metapath"), path_string().alias("__p"))
-    counted = m.groupBy("test_id", "metapath").agg(F.count("*").alias("paths"), F.slice(F.sort_array(F.collect_set("__p")), 1, examples).alias("examples"))
-    return counted.withColumn("percentage", F.round(100.0 * F.col("paths") / F.sum("paths").over(Window.partitionBy("test_id")), 6))
+    by = ["test_id", "metapath"]
+    counted = m.groupBy(*by).agg(F.count("*").alias("paths"))
+    # only the examples themselves are gathered
+    few = top_k(m.distinct(), by, examples, F.col("__p")).groupBy(*by).agg(F.array_sort(F.collect_list("__p")).alias("examples"))
+    out = counted.join(few, by)
+    return out.withColumn("percentage", F.round(100.0 * F.col("paths") / F.sum("paths").over(Window.partitionBy("test_id")), 6))

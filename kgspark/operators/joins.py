@@ -14,8 +14,15 @@ def mark(df: DataFrame, lookup: DataFrame, keys: list[str], name: str, as_int: b
 
 
 def align(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a and b with common keys, side by side; the first of repeated keys by value."""
-    return a.dropDuplicates(keys).join(b.dropDuplicates(keys), keys)
+    """Rows of a and b with common keys, side by side; of repeated keys the row whose other columns come first."""
+
+    def one(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        if not rest:
+            return df.distinct()
+        return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+    return one(a).join(one(b), keys)
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -22,8 +22,9 @@ def score_pairs(pairs: DataFrame, entities: DataFrame, digits: int = 6) -> DataF
 
 
 def all_scores(queries: DataFrame, entities: DataFrame, digits: int = 6) -> DataFrame:
-    """query_id, tail, score for each query vector (query_id, vector) with each entity.  Queries are scored in
-    Arrow batches as a matrix product; the entities are dealt, the queries broadcast if they are few."""
+    """query_id, tail, score for each query vector (query_id, vector) with each entity: the whole product, for what needs
+    all scores; best_tails() gives the best ones without it.  The entities stay where they are, the queries are
+    broadcast if there are no more than 10,000."""
     q = queries.select("query_id", F.col("vector").alias("__q"))
     e = entities.select(F.col("id").alias("tail"), F.col("vector").alias("__e"))
     side = F.broadcast(q) if q.count() <= 10_000 else q

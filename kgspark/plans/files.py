@@ -149,7 +149,7 @@ def predicate_sequences(v):
 @query(khop_sql(False, 2, f", m AS (SELECT test_id, {type_sql('nodes[1]')} || list_aggregate(list_transform(range(1, len(relations) + 1), lambda i: ' -> ' || relations[i] || ' -> ' || {type_sql('nodes[i + 1]')}), 'string_agg', '') AS metapath FROM found WHERE connects), c AS (SELECT test_id, metapath, COUNT(*) AS paths, 100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY test_id) AS share FROM m GROUP BY test_id, metapath) SELECT test_id, CAST(ROW_NUMBER() OVER (PARTITION BY test_id ORDER BY paths DESC, metapath) AS INT) AS line, metapath || ': ' || CAST(paths AS VARCHAR) || ' (' || CAST(ROUND(ROUND(share, 6), 2) AS VARCHAR) || ' %)' AS text FROM c"), "influence", "distant")
 def metapath_report(v):
     """Lines of a text report."""
-    m = graph.metapaths(graph.khop_paths(influence_links(v), v("distant"), 2, directed=False))
+    m = graph.metapaths(graph.khop_paths(influence_links(v), v("distant"), 2, directed=False, connecting=True))
     return aggregates.report_lines(m, ["test_id"], "metapath", "paths", "percentage")
 
 

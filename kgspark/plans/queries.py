@@ -534,7 +534,7 @@ def khop_paths_scored(v):
 
 @query(khop_sql(True, 2, ", ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY test_id ORDER BY mean DESC, path) AS INT) AS path_rank FROM found WHERE connects) SELECT test_id, path_rank, path AS path_string, CAST(i - 1 AS INT) AS edge_pos, nodes[i] AS TrainHead, relations[i] AS TrainRel_label, nodes[i + 1] AS TrainTail, scores[i] AS TracInScore, ROUND(mean, 6) AS path_score_mean FROM ranked, UNNEST(range(1, len(nodes))) r(i)"), "influence", "distant")
 def path_edges_exploded(v):
-    return graph.ranked_path_edges(graph.khop_paths(influence_links(v), v("distant"), 2)).withColumn("path_score_mean", F.round("path_score_mean", 6))
+    return graph.ranked_path_edges(graph.khop_paths(influence_links(v), v("distant"), 2, connecting=True)).withColumn("path_score_mean", F.round("path_score_mean", 6))
 
 
 def type_sql(x: str) -> str:
@@ -543,7 +543,7 @@ def type_sql(x: str) -> str:
 
 @query(khop_sql(False, 2, f", m AS (SELECT test_id, {type_sql('nodes[1]')} || list_aggregate(list_transform(range(1, len(relations) + 1), lambda i: ' -> ' || relations[i] || ' -> ' || {type_sql('nodes[i + 1]')}), 'string_agg', '') AS metapath FROM found WHERE connects) SELECT test_id, metapath, COUNT(*) AS paths, ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY test_id), 6) AS percentage FROM m GROUP BY test_id, metapath"), "influence", "distant")
 def metapaths(v):
-    return graph.metapaths(graph.khop_paths(influence_links(v), v("distant"), 2, directed=False)).drop("examples")
+    return graph.metapaths(graph.khop_paths(influence_links(v), v("distant"), 2, directed=False, connecting=True)).drop("examples")
 
 
 # ---- scores and ranks ------------------------------------------------------------------------------------------
@@ -697,7 +697,7 @@ def on_specific_path(v):
 
 
 def ranked_edges(v) -> DataFrame:
-    return graph.ranked_path_edges(graph.khop_paths(influence_links(v), v("distant"), 2))
+    return graph.ranked_path_edges(graph.khop_paths(influence_links(v), v("distant"), 2, connecting=True))
 
 
 def path_edges_with(tail: str) -> str:
