@@ -6,7 +6,8 @@ and merges all occurrences of that pair at once (left to right, without overlap)
 pre-token has a pair with a rank; the surviving symbols are the tokens.
 
 Normal form and pre-tokens are those of the vocabulary file's own normaliser and pre-tokenizer, run by the
-library over all new words of a chunk at once, so they follow its Unicode tables; merging is done here.
+library over all new words of a chunk at once, so they follow its Unicode tables; merging is done here.  Words
+of ASCII and Latin letters up to U+017F alone, whose classes have not changed since Unicode 5, are cut by arrays, too.
 
 Why this equals merging one pair at a time: a merge makes a symbol that did not exist before, and every
 rule that uses this symbol was learnt later, so it has a higher rank.  Hence all occurrences of the
@@ -21,6 +22,7 @@ Empty table: no rows.  Other columns of the input, whatever their names, are not
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +41,27 @@ REMEMBERED = 300_000
 
 #: Unicode White_Space, as the tokenizer's \s has it (str.split() also splits at 1C-1F).
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: how such vocabularies cut lower-case text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPLIT = regex.compile(f"[{WHITE_SPACE}]+")
+#: Words that are cut by arrays: no apostrophe (it begins endings like 's) and no dotted capital I (two characters in
+#: lower case); all are in normal form.
+SIMPLE = re.compile("[!-&(-~\u00c0-\u012f\u0131-\u017f]+")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+
+
+def classes(below: int = 0x180) -> np.ndarray:
+    """The class of each code point of simple words."""
+    table = np.full(below, OTHER, dtype=np.uint8)
+    for c in range(below):
+        if chr(c) == " ":
+            table[c] = SPACE
+        elif chr(c).isalpha():
+            table[c] = LETTER
+        elif chr(c).isdecimal():
+            table[c] = DIGIT
+    return table
 
 
 class PairRanks:
@@ -103,11 +124,15 @@ class Counter:
         # of two special strings that begin at one place the longer one is meant
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
+        (cut,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        # the pattern that simple() carries out by arrays
+        self.simple = SIMPLE.fullmatch if cut == PATTERN else lambda word: None
+        self.classes = classes()
         letters = byte_letters()
-        self.plain = np.zeros(max(map(ord, letters)) + 1, dtype=np.int64)
-        self.last = self.plain.copy()
-        for c in letters:
-            self.plain[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + end]
+        self.byte = np.zeros(max(map(ord, letters)) + 1, dtype=np.uint8)
+        self.byte[[ord(c) for c in letters]] = np.arange(256)
+        self.plain = np.array([vocab[c] for c in letters], dtype=np.int64)
+        self.last = np.array([vocab[c + end] for c in letters], dtype=np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.pairs = PairRanks(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
         self.known: dict[str, int] = {}
@@ -137,27 +162,47 @@ class Counter:
         return specials + np.array([sum(map(known.__getitem__, r)) for r in rows], dtype=np.int64)
 
     def count_words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each word.  Neither normal form, lower case nor a pre-token reaches over white space, so the
-        words go to the library as one text with a space between them."""
+        """Tokens of each word.  Neither normal form, lower case nor a pre-token reaches over white space, so
+        words are taken together as one text with a space between them."""
         out = np.zeros(len(words), dtype=np.int64)
+        some = np.fromiter((self.simple(w) is not None for w in words), dtype=bool, count=len(words))
+        for which, cut in ((np.flatnonzero(some), self.cut_by_arrays), (np.flatnonzero(~some), self.cut_by_library)):
+            if len(which):
+                owner, lengths, raw = cut([words[i] for i in which.tolist()])
+                if len(lengths):
+                    out[which] = np.bincount(owner, weights=self.merge(lengths, raw), minlength=len(which))
+        return out
+
+    def cut_by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word of each pre-token, its bytes' number, all bytes)"""
         text = self.library.normalizer.normalize_str(" ".join(words))
         starts = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum([len(w) + 1 for w in text.split(" ")] if words else [], out=starts[1:])
+        np.cumsum([len(w) + 1 for w in text.split(" ")], out=starts[1:])
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
-        if not found:
-            return out
         at = np.fromiter((span[0] for _, span in found), dtype=np.int64, count=len(found))
-        np.add.at(out, np.searchsorted(starts, at, side="right") - 1, self.merge([piece for piece, _ in found]))
-        return out
-
-    def merge(self, tokens: list[str]) -> np.ndarray:
-        """Symbols left of each pre-token (of byte letters) after all merges."""
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        raw = np.frombuffer("".join(tokens).encode("utf-32-le"), dtype=np.uint32)
+        letters = np.frombuffer("".join(piece for piece, _ in found).encode("utf-32-le"), dtype=np.uint32)
+        return np.searchsorted(starts, at, side="right") - 1, np.array([len(piece) for piece, _ in found], dtype=np.int64), self.byte[letters]
+
+    def cut_by_arrays(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for simple words: runs of letters, single digits, runs of other characters."""
+        text = " ".join(words).lower()
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        kind = self.classes[codes]
+        begins = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)]
+        full = kind != SPACE
+        piece = np.cumsum(begins & full)[full] - 1  # the pre-token of each character
+        width = 1 + (codes >= 0x80)  # no simple character has three bytes
+        lengths = np.bincount(piece, weights=width[full]).astype(np.int64)
+        owner = np.cumsum(~full)[begins & full]
+        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        return owner, lengths, raw[raw != 32]
+
+    def merge(self, lengths: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Symbols left of each pre-token (its length in bytes) after all merges."""
         ends = np.cumsum(lengths)
         symbols = self.plain[raw]
         symbols[ends - 1] = self.last[raw[ends - 1]]
-        owner = np.repeat(np.arange(len(tokens)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         result = lengths.copy()
         none = np.iinfo(np.int32).max
         while len(symbols) > 1:
