@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -77,6 +78,41 @@ def test_small_tables(spark, rows):
     assert Counter(tuple(r) for r in fp.neighbours(df).collect()) == expected(rows)
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(5, "same words")] * 30 + [(i, f"text {i}") for i in range(5)] + [(9, "behind")],
+        [(5, "same words")] * 30,
+        [(None, "no id")] * 20 + [(4, "b c d")] * 25 + [(3, "before"), (5, "behind")],
+        [(5, "same words")] * 30 + [(6, "and here")] * 30,
+    ],
+)
+def test_doc_ids_of_very_many_rows(spark, monkeypatch, rows):
+    """Rows that are equal have the same neighbours in whatever order they are numbered."""
+    monkeypatch.setattr(fp, "HOT_ROWS", 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in fp.neighbours(docs).collect()) == expected(rows)
+
+
+def test_different_texts_of_one_doc_id(spark, monkeypatch):
+    """Some order of the rows without a doc_id gives the result."""
+    monkeypatch.setattr(fp, "HOT_ROWS", 3)
+    own, rest = ["first words here", "second text that is there", "a third one", "the fourth of all"], [(1, "with an id"), (2, "another id and words")]
+    got = Counter(tuple(r) for r in fp.neighbours(spark.createDataFrame([(None, t) for t in own] + rest, "doc_id long, text string").repartition(3)).collect())
+
+    def chain(texts):
+        rows = [(None, t) for t in texts] + rest
+        out = Counter()
+        for (doc, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+            cut = len(text) // 4
+            edited = text[: len(text) - cut] + following[:cut]
+            a, b, c = brute(text), brute(edited), brute(following)
+            out[(doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.name(a), fp.name(b), plain_likeness(a, b), plain_likeness(a, c))] += 1
+        return out
+
+    assert any(got == chain(p) for p in itertools.permutations(own))
+
+
 def test_returned_fingerprints_can_be_compared(odd):
     rows = fp.neighbours(odd).collect()
     for r in rows[:100]:
