@@ -37,7 +37,7 @@ from kgspark.llm.common import arrow_rows, chunks, documents, stage, texts_of
 
 CAPACITY = 2048
 #: Groups in which pieces are numbered, besides one for each length: pieces of a group, and the most groups.
-BUCKET_ROWS = 1 << 17
+BUCKET_ROWS = 1 << 10
 MOST_BUCKETS = 1 << 16
 #: How fast prices fall with coverage, and how much more than in proportion the longest piece is worth.
 RATE = 0.5
