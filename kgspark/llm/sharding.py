@@ -34,7 +34,7 @@ WIDTH = 60
 #: Bins of the first number, over all shards.
 BIN_BITS = 12
 #: Rows from which a bin is divided: at least, and as a share of a shard's rows.
-HEAVY_ROWS = 1 << 16
+HEAVY_ROWS = 1 << 10
 HEAVY_SHARE = 64
 #: Bytes by which a splitter may miss its target, as a share of a shard.
 TOLERANCE = 0.001
