@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kgspark.llm.alignment import op11_cross_tokenizer_alignment
 from kgspark.llm.fingerprint import op8_fingerprint
 from kgspark.llm.lines import SQL as LINES_SQL
 from kgspark.llm.lines import op12_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
         op8_fingerprint,
         op9_simhash_near_dedup,
         op10_sharding,
+        op11_cross_tokenizer_alignment,
         op12_line_dedup,
     )
 }
