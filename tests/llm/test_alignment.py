@@ -1,5 +1,6 @@
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter
 
 import public_tokenizers
@@ -53,7 +54,8 @@ def plain(rows):
             continue
         cuts = sorted(x.keys() & y.keys())
         pairs = [(x[e], y[e]) for e in cuts]
-        groups = ";".join("|".join(",".join(str(side[e]) for e in sorted(side) if s < e <= t) for side in (x, y)) for s, t in zip([0, *cuts], cuts))
+        ends = [sorted(x), sorted(y)]
+        groups = ";".join("|".join(",".join(str(side[e]) for e in own[bisect_right(own, s) : bisect_right(own, t)]) for side, own in zip((x, y), ends)) for s, t in zip([0, *cuts], cuts))
         texts.append(groups)
         out.append((doc, len(x), len(y), len(cuts), len(pairs), sum(counts[p] == best[p[1]] for p in pairs), sum(counts[p] for p in pairs), hashlib.sha256(groups.encode()).hexdigest()))
     return out, texts
