@@ -8,6 +8,7 @@ from kgspark.llm.lines import SQL as LINES_SQL
 from kgspark.llm.lines import op12_line_dedup
 from kgspark.llm.media import op2_media_columns
 from kgspark.llm.mixing import op7_mixing
+from kgspark.llm.negatives import op13_hard_negatives
 from kgspark.llm.packing import op1_best_fit_packing
 from kgspark.llm.quality import op5_quality_classifier
 from kgspark.llm.secrets import op4_secret_scans
@@ -31,6 +32,7 @@ QUERIES = {
         op10_sharding,
         op11_cross_tokenizer_alignment,
         op12_line_dedup,
+        op13_hard_negatives,
     )
 }
 
