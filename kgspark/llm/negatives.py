@@ -37,7 +37,7 @@ SCALE = 256
 MOST = 1 << 24
 #: Pivots at most; rows for each of them at least.
 PIVOTS = 1024
-CELL_ROWS = 64
+CELL_ROWS = 16
 #: Anchors of a group, about; bytes of the candidates of a slice, about.
 GROUP_ROWS = 4096
 SLICE_BYTES = 1 << 21

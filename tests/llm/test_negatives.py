@@ -71,8 +71,9 @@ def test_large_components(spark):
 def test_candidates_go_only_where_they_may_serve(spark):
     """Far clusters are left out, and what is left out wasn't needed (the result equals that of all products)."""
     rows = clusters(3, n=900, dims=16, centres=9, spread=0.01, labels=2)
+    rows = [(i, (np.array(e) / np.linalg.norm(e)).astype(np.float32).tolist(), y) for i, e, y in rows]
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
-    points = negatives.pointed(df, F.col("vec_id") % 5 == 0, pivots=12)
+    points = negatives.pointed(df, F.col("vec_id") % 5 == 0, pivots=48)
     anchors = points.placed.filter("anchor").withColumn("group", F.col("home")).withColumns({"lows": F.array(F.lit(-negatives.ANY)), "highs": F.array(F.lit(negatives.ANY))})
     found = negatives.search(points, anchors, True, 5)
     raised = found.groupBy("anchor").agg(F.array(F.min("score")).alias("lows")).withColumnRenamed("anchor", "row")
@@ -81,7 +82,7 @@ def test_candidates_go_only_where_they_may_serve(spark):
     sent = negatives.routed(points.placed, points.cells, members, 1, False).count()
     groups = len(set(members.group.tolist()))
     assert groups > 5 and sent < 0.5 * groups * len(rows)
-    assert mined(spark, rows, group_rows=20, pivots=12) == plain(rows, lambda i: i % 5 == 0)
+    assert mined(spark, rows, group_rows=20, pivots=48) == plain(rows, lambda i: i % 5 == 0)
 
 
 def test_query_changes_labels_and_has_the_columns(spark, tmp_path):
