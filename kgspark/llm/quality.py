@@ -159,41 +159,26 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most max_rows labelled documents that are not held out.  The doc_ids are
-    chosen first, so only chosen texts travel; of repeated ones no more than max_rows in all."""
-    chosen = (
+def chosen_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """text and __y of at most max_rows labelled documents that are not held out and are no longer than LONGEST bytes.  Labels
+    are chosen first, by hash of doc_id, so only texts of chosen ids travel; of rows that repeat an id no more than max_rows in all stay."""
+    ids = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("__y"))
         .filter(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "__y")
         .limit(max_rows)
         .collect()
     )
-    if not chosen:
-        return [], []
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, __y int")
+    known = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, __y int")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= LONGEST)
-    # at most max_rows ids
-    found = rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "__y", F.xxhash64("text")).limit(max_rows).select("text", "__y").toArrow()
-    return found.column("text").to_pylist(), found.column("__y").to_pylist()
+    # at most max_rows ids are broadcast
+    return rows.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__y", F.xxhash64("text")).limit(max_rows).select("text", "__y")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most max_rows labelled documents that are not held out.  The doc_ids are
-    chosen first, so only chosen texts travel."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("__y"))
-        .filter(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "__y")
-        .limit(max_rows)
-    )
-    ids = chosen.toPandas()
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "__y", F.coalesce("text", F.lit("")).alias("text")) if len(ids) else None
-    table = found.toArrow() if found is not None else None
-    if table is None or not table.num_rows:
-        return [], []
-    table = table.sort_by([("doc_id", "ascending"), ("__y", "ascending"), ("text", "ascending")]).slice(0, max_rows)
-    return table.column("text").to_pylist(), table.column("__y").to_pylist()
+    """The texts and labels of chosen_rows() on the driver."""
+    found = chosen_rows(docs, labels, label, max_rows).toArrow()
+    return found.column("text").to_pylist(), found.column("__y").to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:

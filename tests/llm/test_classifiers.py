@@ -116,14 +116,24 @@ def test_query_against_brute_force(spark, module, query, plain):
         assert r["predicted"] == (r["score"] >= module.THRESHOLD) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
-def test_long_and_repeated_documents_are_bounded(spark, monkeypatch):
-    """Repeats of a labelled doc_id don't add rows beyond the bound; texts too long are not learnt from."""
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_long_and_repeated_documents_are_bounded(spark, monkeypatch, label):
+    """What leaves the executors: rows of labelled ids that aren't held out, no text longer than the limit (long ones have the lowest
+    ids here), no more rows than the bound though ids repeat."""
     monkeypatch.setattr(quality, "LONGEST", 50)
-    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
-    docs = spark.createDataFrame([(i, "some words") for i in ids[:10] for _ in range(20)] + [(i, "w" * 51) for i in ids[10:]], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
-    texts, y = quality.labelled(docs, labels, "quality", 30)
-    assert len(texts) == len(y) == 30 and set(texts) == {"some words"}
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, "w" * (51 + i)) for i in ids[:15]] + [(i, f"some words {i}") for i in ids[15:] for _ in range(20)] + [(i, "held out") for i in held] + [(ids[15], None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(ids[20], None), (None, 1)], f"doc_id long, {label} int")
+    gathered = quality.chosen_rows(docs, labels, label, 30).collect()
+    assert len(gathered) == 30 and all(len(r["text"].encode()) <= 50 for r in gathered)
+    assert all(r["text"] == "" or r["text"] == f"some words {r['text'].split()[-1]}" and int(r["text"].split()[-1]) % 2 == r["__y"] for r in gathered)
+    every = quality.chosen_rows(docs, labels, label, 10_000).collect()
+    assert len(every) == 20 * len(ids[15:]) + 1 and not any(r["text"].startswith("held") for r in every)
+    texts, y = quality.labelled(docs, labels, label, 30)
+    assert list(zip(texts, y)) == [tuple(r) for r in gathered]
+    assert quality.labelled(docs, labels.limit(0), label, 30) == ([], [])
 
 
 def test_folded_model_equals_the_mean_of_vectors():
