@@ -9,34 +9,31 @@ together: an estimate of the sets' Jaccard similarity, and exact for sets that s
 The parse of an edited text begins as that of the text itself, so the dictionary is built once up to the
 place of the edit and goes on from there.
 
-Neighbours: rows are ordered by (doc_id, text hash), nulls first, in ranges of doc_id.  Ranges begin at
-doc_ids of the table; the first rows of each range are sent to the range before as well (those of the
-lowest to the last), so each task has its successor without looking at another.  Texts are compressed
-before that exchange.
+Neighbours: rows are ordered by (doc_id, text hash), nulls first, in ranges.  Ranges begin at doc_ids of the table; the rows of the doc_id at
+which a range begins are sent to the range before as well (those of the first range to the last), so each task has its successor without
+looking at another.  Texts are compressed before that exchange.
 
-A doc_id of more than HOT_ROWS rows (or of a share of the table; null is one of them) would be one range.  Its rows are
-numbered instead, by task and place within the task, and each is joined to the one with the next number; only its first
-and last row take part in the ranges, where they meet the documents before and behind.
+A doc_id of more than HOT_ROWS rows, or of a share of the table (null is one of them), has ranges of its own, which begin at
+text hashes of its rows: the order is the same as that of other doc_ids.  Equal rows of such a doc_id are counted first and
+travel as one; all but the last of them are followed by an equal one.
 
 Cases: null or empty text: no phrases, and the fingerprint of the empty set; two empty sets have likeness
 1, an empty and a full one 0.  Repeated doc_ids: neighbours in order of text hash.  A single document: it is
 its own neighbour.  Repeated rows: a row each, neighbours of each other.  Ties (rows equal in doc_id and text) have the
-same values whatever their order; of a doc_id with more than HOT_ROWS rows the order is that of the input.  Empty table: no rows.  Very long texts: whole; a range is streamed row by row.
+same values whatever their order.  Empty table: no rows.  Very long texts: whole; a range is streamed row by row.
 Columns but doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import ODD, chunks, documents, mix, powers, stage, texts_of
@@ -45,9 +42,11 @@ SIGNATURE = 128
 #: Rows of a range of doc_ids, about; and the most ranges, so that their bounds stay small on the driver.
 RANGE_ROWS = 1500
 MOST_RANGES = 100_000
-#: Rows from which a doc_id is numbered instead, at least, and as a share of the table.
+#: Rows from which a doc_id has ranges of its own, at least, and as a share of the table.
 HOT_ROWS = 1 << 14
 HOT_SHARE = 10_000
+#: The least text hash: all of a doc_id.
+LEAST = -(1 << 63)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
 
@@ -137,75 +136,48 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def ranges(docs: DataFrame) -> list[int]:
-    """doc_ids of the table at which ranges begin, ascending; the lowest first."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n, low = ids.agg(F.count("doc_id"), F.min("doc_id")).first()
-    parts = min(max(n // RANGE_ROWS, 1), MOST_RANGES)
-    if not n:
-        return []
-    # percentile_approx returns values of the column
-    at = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * max(parts, 100)).alias("p")).first()["p"] if parts > 1 else []
-    return sorted({low, *at})
+DEALT = pa.schema([("part", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("order", pa.int64()), ("packed", pa.binary()), ("times", pa.int64())])
+
+
+def key_of(doc: int | None, order: int) -> tuple[bool, int, int]:
+    """Place of a row in the order: nulls first, then doc_id, then text hash."""
+    return doc is not None, doc or 0, order
+
+
+def ranges(rows: DataFrame, hot: DataFrame, hot_ids: list, n: int) -> list[tuple[bool, int, int]]:
+    """Keys at which ranges begin, ascending: LEAST as text hash stands for all of a doc_id.  rows: those of other doc_ids, hot: the
+    distinct rows of hot_ids."""
+    of_a_range = max(RANGE_ROWS, -(-n // MOST_RANGES))
+    ids = rows.select("doc_id")
+    count, low, nulls = ids.agg(F.count("doc_id"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    found = {key_of(None, LEAST)} if nulls else set()
+    if count:
+        parts = max(count // of_a_range, 1)
+        # percentile_approx returns values of the column
+        at = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * max(parts, 100)).alias("p")).first()["p"] if parts > 1 else []
+        found |= {key_of(d, LEAST) for d in (low, *at)}
+    if hot_ids:
+        first = hot.groupBy("doc_id").agg(F.min("order").alias("order"))
+        # one of of_a_range rows, chosen by hash
+        some = hot.filter(F.pmod(F.xxhash64("order", F.lit(1)), F.lit(of_a_range)) == 0).select("doc_id", "order")
+        found |= {key_of(*r) for r in first.union(some).collect()}
+    return sorted(found)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document, of its edited form, and the likeness to it and to the next document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = [r["doc_id"] for r in counts.filter(F.col("n") > limit).select("doc_id").collect()]  # HOT_SHARE at most
-    if not hot:
-        return in_ranges(rows.withColumn("silent", F.lit(False)))
-    is_hot = F.coalesce(F.col("doc_id").isin([d for d in hot if d is not None]), F.lit(None in hot))
-    linked, ends = numbered(rows.filter(is_hot))
-    return in_ranges(rows.filter(~is_hot).withColumn("silent", F.lit(False)).unionByName(ends)).unionByName(linked)
-
-
-def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of doc_ids with very many of them -> (fingerprints of all but the last row of each doc_id, the first and the last
-    rows: doc_id, text, silent; the first one is silent, as its fingerprints are among the others)."""
-
-    def place(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        task, seen = TaskContext.get().partitionId(), Counter()
-        for batch in (part for whole in batches for part in chunks(whole, "text")):
-            docs, own = batch.column("doc_id").to_pylist(), []
-            for d in docs:
-                seen[d] += 1
-                own.append(seen[d])
-            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([task] * len(docs), pa.int32()), pa.array(own, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "task", "own", "packed"])
-
-    placed = stage(rows.mapInArrow(place, "doc_id long, task int, own long, packed binary"), "placed")
-    # one row a doc_id and task
-    before = Window.partitionBy("doc_id").orderBy("task")
-    sizes = placed.groupBy("doc_id", "task").agg(F.max("own").alias("size"))
-    sizes = sizes.select(F.col("doc_id").alias("d"), F.col("task").alias("t"), (F.sum("size").over(before) - F.col("size")).alias("start"), F.sum("size").over(Window.partitionBy("doc_id")).alias("total"))
-    row = placed.join(sizes, placed["doc_id"].eqNullSafe(F.col("d")) & (F.col("task") == F.col("t"))).select("doc_id", (F.col("start") + F.col("own")).alias("n"), "total", "packed")
-    following = row.select(F.col("doc_id").alias("d"), (F.col("n") - 1).alias("m"), F.col("packed").alias("next"))
-    pairs = row.join(following, row["doc_id"].eqNullSafe(F.col("d")) & (F.col("n") == F.col("m"))).select("doc_id", "packed", "next")
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                out = []
-                for doc, packed, following in zip(*(batch.slice(at, 100).column(c) for c in ("doc_id", "packed", "next"))):
-                    own, other = (Parsed(unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass")) for x in (packed, following))
-                    out.append(compared(doc.as_py(), own, other))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
-
-    def opened(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                text = unpack.decompress(one.column("packed")[0].as_py()).decode("utf-8", "surrogatepass")
-                yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([text], pa.string()), one.column("silent")], names=["doc_id", "text", "silent"])
-
-    ends = row.filter((F.col("n") == 1) | (F.col("n") == F.col("total"))).select("doc_id", "packed", (F.col("n") == 1).alias("silent"))
-    return pairs.mapInArrow(run, SCHEMA), ends.mapInArrow(opened, "doc_id long, text string, silent boolean")
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    hot_ids = [r["doc_id"] for r in counts.filter(F.col("n") > max(HOT_ROWS, n // HOT_SHARE)).select("doc_id").collect()]  # HOT_SHARE at most
+    once = F.lit(1).cast("long").alias("times")
+    if not hot_ids:
+        return in_ranges(rows.select("*", once), ranges(rows, rows, hot_ids, n))
+    is_hot = F.coalesce(F.col("doc_id").isin([d for d in hot_ids if d is not None]), F.lit(None in hot_ids))
+    hot = stage(rows.filter(is_hot).groupBy("doc_id", "text", "order").agg(F.count("*").alias("times")), "hot-rows")
+    others = rows.filter(~is_hot)
+    return in_ranges(others.select("*", once).unionByName(hot), ranges(others, hot, hot_ids, n))
 
 
 def compared(doc: int | None, own: Parsed, following: Parsed) -> tuple:
@@ -214,61 +186,64 @@ def compared(doc: int | None, own: Parsed, following: Parsed) -> tuple:
     return doc, len(own.text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), name(own.signature), name(other), likeness(own.signature, other), likeness(own.signature, following.signature)
 
 
-def in_ranges(docs: DataFrame) -> DataFrame:
-    """The same for rows (doc_id, text, silent) without doc_ids of very many rows; silent ones are successors only."""
-    starts = np.array(ranges(docs), dtype=np.int64)
-    nulls = docs.filter(F.col("doc_id").isNull()).limit(1).count() > 0
+def in_ranges(rows: DataFrame, starts: list[tuple[bool, int, int]]) -> DataFrame:
+    """The same for rows (doc_id, text, order, times: so many equal ones) dealt into the ranges that begin at starts."""
     n = max(len(starts), 1)
+    sent = rows.sparkSession.sparkContext.broadcast(starts)
 
     def deal(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack, starts = zstandard.ZstdCompressor(level=3), sent.value
         for batch in (part for whole in batches for part in chunks(whole, "text")):
-            texts = texts_of(batch).to_pylist()
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in DEALT]
 
             def put(*values):
                 for column, value in zip(out, values):
                     column.append(value)
 
-            for doc, text, silent in zip(batch.column("doc_id").to_pylist(), texts, batch.column("silent").to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                # of a numbered doc_id the silent row comes first, the last row behind it
-                packed, order = pack.compress(raw), -(1 << 63) if silent else xxhash.xxh64_intdigest(raw) - (1 << 63)
-                # nulls lie before all numbers, in the first range
-                part = 0 if doc is None else max(int(np.searchsorted(starts, doc, side="right")) - 1, 0)
-                put(part, False, doc, order, packed, silent)
-                if doc is not None and starts[part] == doc and (part or not nulls):
-                    put((part - 1) % n, True, doc, order, packed, silent)
-                elif doc is None:
-                    put(n - 1, True, doc, order, packed, silent)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.bool_())], names=["part", "guest", "doc_id", "order", "packed", "silent"])
+            for doc, text, order, times in zip(batch.column("doc_id").to_pylist(), texts_of(batch).to_pylist(), batch.column("order").to_pylist(), batch.column("times").to_pylist()):
+                packed = pack.compress(text.encode("utf-8", "surrogatepass"))
+                part = bisect_right(starts, key_of(doc, order)) - 1
+                put(part, False, doc, order, packed, times)
+                if starts[part] in (key_of(doc, order), key_of(doc, LEAST)):
+                    put((part - 1) % n, True, doc, order, packed, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, DEALT.types)], schema=DEALT)
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         out: list[list] = [[] for _ in COLUMNS]
-        before = None  # (range, doc_id, parsed, silent) that waits for its successor
+        before = None  # (range, doc_id, parsed) that waits for its successor
 
-        def rows():
+        def taken():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, COLUMNS.types)], schema=COLUMNS)
 
         for batch in batches:
-            for part, guest, doc, packed, silent in zip(*(batch.column(c) for c in ("part", "guest", "doc_id", "packed", "silent"))):
-                part, guest, doc, silent = part.as_py(), guest.as_py(), doc.as_py(), silent.as_py()
+            for part, guest, doc, packed, times in zip(*(batch.column(c) for c in ("part", "guest", "doc_id", "packed", "times"))):
+                part, guest, doc, times = part.as_py(), guest.as_py(), doc.as_py(), times.as_py()
                 waits = before is not None and before[0] == part
                 if guest and not waits:
                     continue  # only the first guest is a successor
-                now = Parsed(unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
-                if waits and not before[3]:
+                text = unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
+                now = Parsed(text)
+                if waits:
                     for column, value in zip(out, compared(before[1], before[2], now)):
                         column.append(value)
-                before = None if guest else (part, doc, now, silent)
+                before = None if guest else (part, doc, now)
+                if times > 1:
+                    # each but the last is followed by an equal row; edited() is for one call, so on a copy
+                    same = compared(doc, Parsed(text), now)
+                    for _ in range(times - 1):
+                        for column, value in zip(out, same):
+                            column.append(value)
+                        if len(out[0]) >= 500:
+                            yield taken()
+                            out = [[] for _ in COLUMNS]
                 if len(out[0]) >= 500:
-                    yield rows()
+                    yield taken()
                     out = [[] for _ in COLUMNS]
         if out[0]:
-            yield rows()
+            yield taken()
 
-    dealt = docs.select("doc_id", "text", "silent").mapInArrow(deal, "part int, guest boolean, doc_id long, order long, packed binary, silent boolean")
+    dealt = rows.select("doc_id", "text", "order", "times").mapInArrow(deal, "part int, guest boolean, doc_id long, order long, packed binary, times long")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "order").mapInArrow(run, SCHEMA)
 
 
