@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import dot, sigmoid
+from kgspark.operators.blocks import first_k, inner, matrix, product, scored_tiles
 from kgspark.operators.ranking import top_k
 
 
+#: How scores of a left block's rows with the vectors of a right one are made.
+Scores = Callable[[pa.Table, np.ndarray], np.ndarray]
+
+
 def score_pairs(pairs: DataFrame, entities: DataFrame, digits: int = 6) -> DataFrame:
     """pairs (head, tail, ...) with score, the inner product of the embeddings (id, vector) of both ends."""
     h = entities.select(F.col("id").alias("head"), F.col("vector").alias("__h"))
@@ -31,38 +37,70 @@ def all_scores(queries: DataFrame, entities: DataFrame, digits: int = 6) -> Data
     return e.join(side, F.lit(True)).select("query_id", "tail", F.round(dot("__q", "__e"), digits).alias("score"))
 
 
-#: Rows of a block of queries, and of entities, that one task multiplies.
-QUERY_ROWS, ENTITY_ROWS = 4096, 1 << 16
+def best_tails(queries: DataFrame, entities: DataFrame, k: int = 10, digits: int = 6, known: DataFrame | None = None, scores: Scores = inner, **rows: int) -> DataFrame:
+    """query_id, tail, score, rank: the k entities (id, vector) with the greatest score (inner product) with each query (query_id,
+    vector), ties by id; without known pairs (query_id, tail), and without those of equal `group` if both tables have one.  In blocks: each
+    pair of blocks reports k rows a query."""
 
+    def fold(a: pa.Table, b: pa.Table, skip) -> pa.Table:
+        ids, out = b["id"].to_numpy(), []
+        for at, s in scored_tiles(a, b, skip, digits, scores):
+            i, j = first_k(s, ids, k)
+            out.append(pa.table({"query_id": a["id"].take(pa.array(at + i)).combine_chunks(), "tail": ids[j], "score": s[i, j]}))
+        return pa.concat_tables(out)
 
-def best_tails(queries: DataFrame, entities: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """query_id, tail, score, rank: the k entities (id, vector) with the greatest inner product with each query (query_id,
-    vector), ties by id.  Blocks of both sides meet in one task each, multiply as matrices and report k rows a query, so what
-    is shuffled after that doesn't grow with queries times entities."""
-    sides = [-(-max(df.count(), 1) // rows) for df, rows in ((queries, QUERY_ROWS), (entities, ENTITY_ROWS))]
+    found = product(as_left(queries), entities, fold, "query_id long, tail long, score double", as_pairs(known), **rows)
+    return top_k(found, ["query_id"], k, F.col("score").desc(), F.col("tail"))
 
-    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select(F.col(key).alias("id"), "vector", F.pmod(F.xxhash64(key), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
-    q = dealt(queries, "query_id", "qb", sides[0], "eb", sides[1]).groupBy("qb", "eb")
-    e = dealt(entities, "id", "eb", sides[1], "qb", sides[0]).groupBy("qb", "eb")
+def as_left(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("id", F.col("query_id").cast("long")).drop("query_id")
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "tail": [], "score": []}).astype({"query_id": "int64", "tail": "int64", "score": "float64"})
-        b = b.sort_values("id")
-        ids = b["id"].to_numpy()
-        right = np.stack(b["vector"].to_numpy()).astype(float).T
-        out = []
-        for at in range(0, len(a), 256):
-            part = a.iloc[at : at + 256]
-            scores = np.round(np.stack(part["vector"].to_numpy()).astype(float) @ right, digits)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), best.shape[1]), "tail": ids[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()}))
-        return pd.concat(out)
 
-    found = q.cogroup(e).applyInPandas(run, "query_id long, tail long, score double")
-    return top_k(found, ["query_id"], k, F.col("score").desc(), F.col("tail"))
+def as_pairs(known: DataFrame | None) -> DataFrame | None:
+    return known if known is None else known.select(F.col("query_id").cast("long").alias("left_id"), F.col("tail").cast("long").alias("right_id")).distinct()
+
+
+def count_ranks(queries: DataFrame, entities: DataFrame, truth: DataFrame, known: DataFrame | None = None, ties: str = "ordinal", digits: int = 6, scores: Scores = inner, **rows: int) -> DataFrame:
+    """query_id, tail, score, rank: filtered rank of the true tails (truth: query_id, tail) of each query (query_id, vector) among
+    the entities (id, vector), counted inside blocks: no pair leaves its task but for the true and the known ones.  Known pairs
+    (query_id, tail), and entities of the query's `group` if both tables have one, don't count.  ordinal: 1 + better ones; pessimistic: equal ones are better.  With scores that
+    aren't inner products, truth has the true tails' own (score)."""
+    left = queries.join(truth.distinct(), "query_id")
+    if "score" in truth.columns:
+        left = left.withColumn("target", F.round("score", digits)).drop("score")
+    else:
+        left = left.join(entities.select(F.col("id").alias("tail"), F.col("vector").alias("__e")), "tail").withColumn("target", F.round(dot("vector", "__e"), digits)).drop("__e")
+
+    def fold(a: pa.Table, b: pa.Table, skip) -> pa.Table:
+        ids, tail, goal = b["id"].to_numpy(), a["tail"].to_numpy(), a["target"].to_numpy()
+        ahead = np.zeros(len(a), dtype=np.int64)
+        for at, s in scored_tiles(a, b, skip, digits, scores):
+            t = goal[at : at + len(s), None]
+            better = (s >= t) if ties == "pessimistic" else (s > t)
+            ahead[at : at + len(s)] = (better & (ids[None] != tail[at : at + len(s), None])).sum(axis=1)
+        return pa.table({"query_id": a["id"].combine_chunks(), "tail": tail, "ahead": ahead})
+
+    counted = product(as_left(left), entities, fold, "query_id long, tail long, ahead long", as_pairs(known), **rows).groupBy("query_id", "tail").agg(F.sum("ahead").alias("__ahead"))
+    return left.select(F.col("query_id"), "tail", F.col("target").alias("score")).join(counted, ["query_id", "tail"]).select("query_id", "tail", "score", (F.col("__ahead") + 1).alias("rank"))
+
+
+def block_loss(queries: DataFrame, entities: DataFrame, truth: DataFrame, smoothing: float = 0.0, digits: int = 6, **rows: int) -> DataFrame:
+    """bce_loss() over all entities as tails, from sums inside blocks: the scores of true tails (query_id, tail) are the only pairs
+    made."""
+
+    def fold(a: pa.Table, b: pa.Table, skip) -> pa.Table:
+        soft, total = np.zeros(len(a)), np.zeros(len(a))
+        for at, s in scored_tiles(a, b, skip, digits):
+            soft[at : at + len(s)] = (np.maximum(s, 0) + np.log1p(np.exp(-np.abs(s)))).sum(axis=1)
+            total[at : at + len(s)] = s.sum(axis=1)
+        return pa.table({"query_id": a["id"].combine_chunks(), "soft": soft, "total": total, "n": np.full(len(a), len(b), dtype=np.int64)})
+
+    sums = product(as_left(queries), entities, fold, "query_id long, soft double, total double, n long", **rows).groupBy("query_id").agg(F.sum("soft").alias("soft"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    pairs = truth.distinct().join(queries.select("query_id", F.col("vector").alias("__q")), "query_id").join(entities.select(F.col("id").alias("tail"), F.col("vector").alias("__e")), "tail")
+    true = pairs.groupBy("query_id").agg(F.sum(F.round(dot("__q", "__e"), digits)).alias("true"))
+    labelled = (1.0 - smoothing) * F.coalesce("true", F.lit(0.0)) + smoothing * F.col("total") / F.col("n")
+    return sums.join(true, "query_id", "left").select("query_id", F.round((F.col("soft") - labelled) / F.col("n"), digits).alias("loss"))
 
 
 def rank_tails(scores: DataFrame, truth: DataFrame, known: DataFrame, ties: str = "ordinal") -> DataFrame:
@@ -107,9 +145,13 @@ class ConvScorer:
 
     def __init__(self, weights: dict[str, np.ndarray], height: int, width: int):
         self.w, self.height, self.width = weights, height, width
-        if height * width != weights["entities"].shape[1]:
+        if height * width != weights["relations"].shape[1]:
             raise ValueError("height x width must be the embedding's dimension")
 
+    def without_entities(self) -> ConvScorer:
+        """What is sent to tasks where entities are a table: its size doesn't depend on their number."""
+        return ConvScorer({k: v for k, v in self.w.items() if k != "entities"}, self.height, self.width)
+
     def norm(self, x: np.ndarray, name: str, axis: int) -> np.ndarray:
         shape = [1] * x.ndim
         shape[axis] = -1
@@ -117,7 +159,11 @@ class ConvScorer:
 
     def hidden(self, head: np.ndarray, relation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(input of the linear layer, its normalised output before the last ramp)."""
-        image = np.concatenate([self.w["entities"][head].reshape(-1, 1, self.height, self.width), self.w["relations"][relation].reshape(-1, 1, self.height, self.width)], axis=3)
+        return self.hidden_of(self.w["entities"][head], self.w["relations"][relation])
+
+    def hidden_of(self, head: np.ndarray, relation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the vectors of head and relation."""
+        image = np.concatenate([head.reshape(-1, 1, self.height, self.width), relation.reshape(-1, 1, self.height, self.width)], axis=3)
         image = self.norm(image, "bn0", 1)
         kernel = self.w["conv"]
         windows = np.lib.stride_tricks.sliding_window_view(image[:, 0], kernel.shape[2:], axis=(1, 2))
@@ -157,3 +203,46 @@ def conv_features(triples: DataFrame, scorer: ConvScorer) -> DataFrame:
             yield p.assign(x=list(x.astype(float)), delta=list(delta.astype(float)))
 
     return triples.select("h", "r", "t").mapInPandas(run, "h long, r long, t long, x array<double>, delta array<double>")
+
+
+def conv_queries(queries: DataFrame, entities: DataFrame, scorer: ConvScorer) -> DataFrame:
+    """query_id, vector for queries (query_id, h, r): the vector whose inner product with that of an entity (id, vector) is
+    the convolutional score of (h, r, entity).  best_tails(), count_ranks() and block_loss() take it."""
+    sent = queries.sparkSession.sparkContext.broadcast(scorer.without_entities())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            z = np.maximum(sent.value.hidden_of(matrix(part["vector"]), sent.value.w["relations"][part["r"].to_numpy()])[1], 0) if len(part) else np.zeros((0, 0))
+            yield pa.RecordBatch.from_arrays([part["query_id"].combine_chunks(), pa.array(list(z), pa.list_(pa.float64()))], names=["query_id", "vector"])
+
+    rows = queries.join(entities.select(F.col("id").alias("h"), "vector"), "h").select(F.col("query_id").cast("long").alias("query_id"), F.col("r").cast("int").alias("r"), "vector")
+    return rows.mapInArrow(run, "query_id long, vector array<double>")
+
+
+def conv_truth(queries: DataFrame, entities: DataFrame, scorer: ConvScorer, side: str = "tail") -> DataFrame:
+    """query_id, tail, score of the true answers of queries (query_id, h, r, t): t for side tail; h, as `tail`, for side head."""
+    vectors = conv_queries(queries, entities, scorer).join(queries.select("query_id", "h", "t"), "query_id")
+    found = vectors.join(entities.select(F.col("id").alias("t"), F.col("vector").alias("__e")), "t")
+    return found.select("query_id", F.col("t" if side == "tail" else "h").alias("tail"), dot("vector", "__e").alias("score"))
+
+
+def head_scores(scorer: ConvScorer) -> Scores:
+    """Convolutional scores of every entity as the head of (r, t): left rows have r and the vector of t.  The forward pass of a
+    block of heads runs once for each relation of the rows, inside the task."""
+    layers = scorer.without_entities()
+
+    def scores(a: pa.Table, heads: np.ndarray) -> np.ndarray:
+        relation, tails = a["r"].to_numpy(), matrix(a["vector"])
+        out = np.empty((len(a), len(heads)))
+        for r in np.unique(relation):
+            z = np.maximum(layers.hidden_of(heads, np.broadcast_to(layers.w["relations"][r], heads.shape))[1], 0)
+            out[relation == r] = tails[relation == r] @ z.T
+        return out
+
+    return scores
+
+
+def head_queries(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """query_id, r, vector for queries (query_id, r, t), as head_scores() takes them."""
+    return queries.join(entities.select(F.col("id").alias("t"), "vector"), "t").select(F.col("query_id").cast("long").alias("query_id"), F.col("r").cast("int").alias("r"), "vector")

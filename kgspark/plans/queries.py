@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as X
-from kgspark.operators import aggregates, annotate, encode, filters, graph, influence, joins, metrics, score, splits, stats
+from kgspark.operators import aggregates, annotate, encode, filters, gradients, graph, influence, joins, metrics, score, splits, stats
 from kgspark.operators.ranking import global_rank, hash_order, top_k
 from kgspark.plans.views import oracle, view
 
@@ -584,17 +584,17 @@ def score_pairs(e):
 SCORED_SQL = f"{PAIRS_SQL}, sc AS (SELECT q.vec_id AS query_id, e.vec_id AS tail, ROUND({DOT.format('q.embedding', 'e.embedding')}, 6) AS score, e.label FROM embeddings q, embeddings e WHERE q.label = 0), truth AS (SELECT query_id, sc.tail, score FROM sc JOIN pairs ON pairs.head = sc.query_id AND pairs.tail = sc.tail)"
 
 
-def asked(e: DataFrame) -> DataFrame:
-    return score.all_scores(e.filter("label = 0").select(F.col("id").alias("query_id"), "vector"), e)
+def asking(e: DataFrame) -> DataFrame:
+    return e.filter("label = 0").select(F.col("id").alias("query_id"), "vector", F.col("label").alias("group"))
 
 
-def truth_of(e: DataFrame) -> DataFrame:
-    return pairs_of(e).join(e.filter("label = 0").select(F.col("id").alias("head")), "head", "left_semi").select(F.col("head").alias("query_id"), "tail")
+def answering(e: DataFrame) -> DataFrame:
+    """All vectors, with the label as the group whose own answers are known."""
+    return e.select("id", "vector", F.col("label").alias("group"))
 
 
-def known_of(e: DataFrame) -> DataFrame:
-    zero = e.filter("label = 0").select("id")
-    return zero.select(F.col("id").alias("query_id")).join(F.broadcast(zero.select(F.col("id").alias("tail"))), F.lit(True)).join(truth_of(e), ["query_id", "tail"], "left_anti")
+def truth_of(e: DataFrame) -> DataFrame:
+    return pairs_of(e).join(e.filter("label = 0").select(F.col("id").alias("head")), "head", "left_semi").select(F.col("head").alias("query_id"), "tail")
 
 
 RANKS_SQL = "ranks AS (SELECT t.query_id, t.tail, t.score, 1 + COUNT(*) FILTER (s.tail <> t.tail AND s.label <> 0 AND s.score {0} t.score) AS rank FROM truth t JOIN sc s USING (query_id) GROUP BY t.query_id, t.tail, t.score)"
@@ -602,29 +602,27 @@ RANKS_SQL = "ranks AS (SELECT t.query_id, t.tail, t.score, 1 + COUNT(*) FILTER (
 
 @emb("filtered_rank", f"WITH {SCORED_SQL}, {RANKS_SQL.format('>')} SELECT query_id, tail, score, rank FROM ranks")
 def filtered_rank(e):
-    return score.rank_tails(asked(e), truth_of(e), known_of(e))
+    return score.count_ranks(asking(e), answering(e), truth_of(e))
 
 
 @emb("pessimistic_rank", f"WITH {SCORED_SQL}, {RANKS_SQL.format('>=')} SELECT query_id, tail, score, rank FROM ranks")
 def pessimistic_rank(e):
-    return score.rank_tails(asked(e), truth_of(e), known_of(e), ties="pessimistic")
+    return score.count_ranks(asking(e), answering(e), truth_of(e), ties="pessimistic")
 
 
 @emb("link_metrics", f"WITH {SCORED_SQL}, {RANKS_SQL.format('>')} SELECT COUNT(*) AS queries, ROUND(AVG(rank), 6) AS mean_rank, ROUND(MEDIAN(rank), 6) AS median_rank, ROUND(AVG(1.0 / rank), 6) AS mrr, ROUND(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hits_at_1, ROUND(AVG(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hits_at_3, ROUND(AVG(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hits_at_5, ROUND(AVG(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hits_at_10 FROM ranks")
 def link_metrics(e):
-    return score.link_metrics(score.rank_tails(asked(e), truth_of(e), known_of(e)))
+    return score.link_metrics(score.count_ranks(asking(e), answering(e), truth_of(e)))
 
 
 @emb("topk_tails", f"WITH {SCORED_SQL} SELECT query_id, tail, score, CAST(rank AS INT) AS rank FROM (SELECT query_id, tail, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, tail) AS rank FROM sc WHERE label <> 0) x WHERE rank <= 10")
 def topk_tails(e):
-    known = known_of(e).unionByName(truth_of(e))
-    return score.top_tails(asked(e), 10, known)
+    return score.best_tails(asking(e), answering(e), 10)
 
 
 @emb("bce_loss", f"WITH {SCORED_SQL} SELECT query_id, ROUND(AVG(GREATEST(s.score, 0) + LN(1 + EXP(-ABS(s.score))) - s.score * (CASE WHEN t.tail IS NOT NULL THEN 0.9 ELSE 0 END + 0.1 / n)), 6) AS loss FROM sc s LEFT JOIN truth t USING (query_id, tail), (SELECT COUNT(*) AS n FROM embeddings) c GROUP BY query_id")
 def bce_loss(e):
-    marked = joins.mark(asked(e), truth_of(e), ["query_id", "tail"], "is_true")
-    return score.bce_loss(marked, 0.1)
+    return score.block_loss(asking(e).drop("group"), e.select("id", "vector"), truth_of(e), 0.1)
 
 
 # x is the first half of a vector, delta the second
@@ -635,6 +633,11 @@ def features_of(e: DataFrame) -> DataFrame:
     return e.select("id", "label", F.slice("vector", 1, 32).alias("x"), F.slice("vector", 33, 32).alias("delta"))
 
 
+def strongest(e: DataFrame, signed: bool = False) -> DataFrame:
+    f = features_of(e)
+    return influence.best_influences(influence.indexed(f.filter("label = 0"), "id"), influence.indexed(f.filter("label <> 0"), "id"), 10, signed=signed)
+
+
 def influence_rows(e: DataFrame) -> DataFrame:
     f = features_of(e)
     return influence.influences(f.filter("label = 0").select(F.col("id").alias("test_id"), "x", "delta"), f.filter("label <> 0").select(F.col("id").alias("train_id"), "x", "delta"))
@@ -647,12 +650,12 @@ def influence_all(e):
 
 @emb("influence_topk", f"WITH {INF_SQL} SELECT test_id, train_id, influence, CAST(rank AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY test_id ORDER BY ABS(influence) DESC, train_id) AS rank FROM i) x WHERE rank <= 10")
 def influence_topk(e):
-    return influence.top_influences(influence_rows(e), 10)
+    return strongest(e)
 
 
 @emb("influence_topk_signed", f"WITH {INF_SQL} SELECT test_id, train_id, influence, CAST(rank AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY test_id ORDER BY influence DESC, train_id) AS rank FROM i) x WHERE rank <= 10")
 def influence_topk_signed(e):
-    return influence.top_influences(influence_rows(e), 10, signed=True)
+    return strongest(e, signed=True)
 
 
 @emb("self_influence", f"WITH {INF_SQL} SELECT vec_id AS train_id, ROUND(0.001 * list_dot_product(d, d) * (1 + list_dot_product(x, x)), 9) AS self_influence FROM f")
@@ -921,3 +924,58 @@ def conv_scored(e: DataFrame) -> DataFrame:
 
 
 QUERIES["conv_scores"] = vectors(conv_scored)
+
+
+# ---- the convolutional model over the table's own vectors ------------------------------------------------------------------
+
+
+def conv_model():
+    """A convolutional scorer of 64 components (8 x 8), relations 0 to 9 and layers drawn from a seed; entities are a table."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    w = {"relations": rng.normal(0, 0.3, (10, 64)), "conv": rng.normal(0, 0.5, (4, 1, 3, 3)), "conv_bias": rng.normal(0, 0.1, 4), "fc": rng.normal(0, 0.1, (4 * 6 * 14, 64)), "fc_bias": rng.normal(0, 0.1, 64)}
+    w |= {f"{b}_{k}": (rng.uniform(0.5, 1.5, s) if k == "scale" else rng.normal(0, 0.1, s)) for b, s in (("bn0", 1), ("bn1", 4), ("bn2", 64)) for k in ("scale", "shift")}
+    return score.ConvScorer(w, 8, 8)
+
+
+def labelled_links(e: DataFrame) -> DataFrame:
+    """id, h, r, t: the candidate pairs, with the label as relation."""
+    r = e.select(F.col("id").alias("head"), F.col("label").cast("long").alias("r"))
+    return pairs_of(e).join(r, "head").select(F.col("head").alias("id"), F.col("head").alias("h"), "r", F.col("tail").alias("t"))
+
+
+def conv_ranks(e: DataFrame, side: str) -> DataFrame:
+    """Rank of the true tail, or head, of every pair among all vectors of other labels."""
+    links, entities, scorer = labelled_links(e).withColumnRenamed("id", "query_id"), e.select("id", "vector"), conv_model()
+    truth = score.conv_truth(links, entities, scorer, side)
+    group = links.select("query_id", F.col("r").cast("int").alias("group"))
+    if side == "tail":
+        return score.count_ranks(score.conv_queries(links, entities, scorer).join(group, "query_id"), answering(e), truth).select("query_id", "tail", "score", "rank")
+    heads = score.head_queries(links, entities).join(group, "query_id")
+    return score.count_ranks(heads, answering(e), truth, scores=score.head_scores(scorer)).select("query_id", F.col("tail").alias("head"), "score", "rank")
+
+
+QUERIES["conv_tail_ranks"] = vectors(lambda e: conv_ranks(e, "tail"))
+QUERIES["conv_head_ranks"] = vectors(lambda e: conv_ranks(e, "head"))
+
+
+def layer_influence(e: DataFrame, layers: tuple[str, ...]) -> DataFrame:
+    """The 10 training pairs (other labels) of strongest influence on each test pair (label 0), by gradients over the layers."""
+    links, entities = labelled_links(e), e.select("id", "vector")
+    found = [gradients.gradients(x, entities, conv_model(), layers) for x in (links.filter("r = 0"), links.filter("r <> 0"))]
+    return influence.best_influences(*found, 10)
+
+
+QUERIES["layer_influence_last"] = vectors(lambda e: layer_influence(e, gradients.last_layers()))
+QUERIES["layer_influence_all"] = vectors(lambda e: layer_influence(e, gradients.LAYERS))
+
+
+def sketch_influence(e: DataFrame) -> DataFrame:
+    """The same from sketches of 256 values over all layers."""
+    links, entities = labelled_links(e), e.select("id", "vector")
+    found = [gradients.sketched(x, entities, conv_model()) for x in (links.filter("r = 0"), links.filter("r <> 0"))]
+    return influence.best_influences(*found, 10)
+
+
+QUERIES["layer_influence_sketch"] = vectors(sketch_influence)
