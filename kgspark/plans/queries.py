@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import scalars as X
 from kgspark.operators import aggregates, annotate, encode, filters, gradients, graph, influence, joins, metrics, score, splits, stats
+from kgspark.operators import reach as reaching
 from kgspark.operators.ranking import global_rank, hash_order, top_k
 from kgspark.plans.views import oracle, view
 
@@ -473,6 +474,48 @@ def edge_filter_stats(v):
     return aggregates.filter_stats(graph.edge_filter(v("triples"), v("tests")))
 
 
+# ---- traversal of all lines: the graph with hubs, by bits of tests --------------------------------------------------------------
+
+ALL_UND = UND.replace("triples", "all_triples")
+
+
+@query(f"WITH RECURSIVE {ALL_UND}, {reach('r', HEADS.format('tests'), 3)} SELECT test_id, node, hops FROM r", "all_triples", "tests")
+def full_hop_distances(v):
+    return reaching.hop_distances(v("all_triples"), v("tests").select("test_id", F.col("head").alias("node")), 3)
+
+
+@query(f"WITH RECURSIVE {ALL_UND}, {reach('r', ENDS.format('tests'), 2)} SELECT test_id, hops, COUNT(*) AS nodes FROM r GROUP BY test_id, hops", "all_triples", "tests")
+def full_khop_nodes(v):
+    """Neighbourhoods by size and distance: counted from bits, so no row a test and node is made before the count."""
+    t = v("tests")
+    numbers = reaching.numbered_tests(t)
+    seeds = reaching.seeded(t.select("test_id", F.explode(F.array("head", "tail")).alias("node")), numbers)
+    near = reaching.reached(reaching.adjacency(v("all_triples")), seeds, 2)
+    counts = [F.sum(F.call_function("shiftright", "bits", F.lit(i)).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(reaching.BITS)]
+    each = near.groupBy("word", "hops").agg(*counts)
+    pairs = each.select("word", "hops", F.posexplode(F.array(*[f"b{i}" for i in range(reaching.BITS)])).alias("bit", "nodes")).filter("nodes > 0")
+    return pairs.join(numbers, ["word", "bit"]).select("test_id", "hops", "nodes")
+
+
+for _engine in ("networkx", "igraph"):
+    query(filter_sql(_engine, select="head, relation, tail, COUNT(*) AS tests", path="GROUP BY head, relation, tail").replace("triples", "all_triples"), "all_triples", "tests", name=f"full_edge_filter_{_engine}")(
+        lambda v, engine=_engine: reaching.proximity(v("all_triples"), v("tests"), engine=engine)[0].groupBy("head", "relation", "tail").agg(F.sum(F.bit_count("bits")).alias("tests"))
+    )
+
+
+@query(filter_sql("networkx", select="test_id, COUNT(*) AS kept, COUNT(DISTINCT head) AS heads", path="GROUP BY test_id").replace("triples", "all_triples"), "all_triples", "tests")
+def full_edge_filter_stats(v):
+    """What the proximity filter leaves of all lines for each test."""
+    kept = reaching.by_test(*reaching.proximity(v("all_triples"), v("tests")))
+    return kept.groupBy("test_id", "head").agg(F.count("*").alias("n")).groupBy("test_id").agg(F.sum("n").alias("kept"), F.count("*").alias("heads"))
+
+
+@query(f"WITH RECURSIVE {ALL_UND}, {reach('r', HEADS.format('distant'), 4)} SELECT d.test_id, r.hops AS length FROM distant d JOIN r ON r.test_id = d.test_id AND r.node = d.tail", "all_triples", "triples", "distant")
+def full_shortest(v):
+    """Edges between the ends of each distant pair, 4 at most: both ends meet half way."""
+    return reaching.shortest(v("all_triples"), v("distant"), 4)
+
+
 def paths_sql(tests: str, length: int, tail: str) -> str:
     return f"""WITH RECURSIVE {UND}, p AS (SELECT test_id, tail AS goal, head AS cur, [head] AS nodes FROM {tests} WHERE head <> tail
 UNION ALL SELECT p.test_id, p.goal, u.b, list_append(p.nodes, u.b) FROM p JOIN und u ON u.a = p.cur WHERE p.cur <> p.goal AND len(p.nodes) <= {length} AND NOT list_contains(p.nodes, u.b)),

@@ -62,6 +62,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49""",
     "triples": """
 SELECT head, relation, tail FROM treats
 UNION ALL SELECT DISTINCT 'P:' || CAST(l_partkey AS STRING), CASE WHEN l_returnflag = 'R' THEN 'biolink:affects' ELSE 'biolink:caused_by' END, 'S:' || CAST(l_suppkey AS STRING) FROM lineitem WHERE l_quantity <= 2
+UNION ALL SELECT 'S:' || CAST(s_suppkey AS STRING), 'biolink:in_taxon', 'N:' || CAST(s_nationkey AS STRING) FROM supplier""",
+    # every line as a triple: the dense graph, with hubs
+    "all_triples": """
+SELECT DISTINCT 'C:' || CAST(o_custkey AS STRING) AS head, CASE WHEN l_quantity >= 49 THEN 'biolink:treats' WHEN l_quantity >= 25 THEN 'biolink:affects' ELSE 'biolink:related_to' END AS relation, 'P:' || CAST(l_partkey AS STRING) AS tail
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT DISTINCT 'P:' || CAST(l_partkey AS STRING), CASE WHEN l_returnflag = 'R' THEN 'biolink:affects' ELSE 'biolink:caused_by' END, 'S:' || CAST(l_suppkey AS STRING) FROM lineitem
 UNION ALL SELECT 'S:' || CAST(s_suppkey AS STRING), 'biolink:in_taxon', 'N:' || CAST(s_nationkey AS STRING) FROM supplier""",
     # a multiset of triples with scores
     "ev": """
