@@ -3,12 +3,12 @@
 Method: a configuration linear program over the length histogram (a configuration is a multiset of
 lengths that fits one sequence; every length must be covered as often as it occurs).  It is solved by
 multiplicative weights: a length's price falls exponentially as it is covered, and a knapsack dynamic program
-over the prices finds configurations until every length is covered.  One table of the program prices the best
-configuration around every length; those whose worth is within GAP of the best enter, in steps of a
-share of what is open, one sequence at least, so the solution is made of whole numbers where counts
-are small.  Rounding: a configuration that asks for more pieces of a length than are left gives those up and is
-filled with the longest pieces that fit.  Best fit places what the last configurations (of SHARES) would have placed
-where that takes fewer sequences, and all of it if configurations never take fewer.
+over the prices finds configurations.  One table of the program prices the best configuration around every length; those whose
+worth is within GAP of the best enter, by a share of what is open, so configurations are taken fractions of times.
+Rounding: the fractional solution is rounded down; what is open then is covered by whole sequences at the same
+prices, and at last, where few pieces of a length are left, sequence by sequence by a knapsack over the pieces themselves (the longest one, and the
+others that fill its sequence best).  Repair: the fullest sequences stand, and best fit places what the others hold, for several shares
+(SHARES) of pieces that stand; of equal results the one with the most from the program is taken.  plan() reports that share.
 
 Only the histogram (at most `capacity` numbers) and bucket counts (at most MOST_BUCKETS + capacity numbers)
 reach the driver.  Pieces are numbered inside (length, bucket) groups, dealt by a hash of the row's number, so
@@ -47,8 +47,11 @@ GAP = 0.002
 PART = 4
 #: Configurations that a step finds before it gives up on rounding some down.
 LEAST = 3
+#: Rounds of the fractional solution at most, and the share of a length's count that it may leave open.
+ROUNDS = 120
+LEFT_OPEN = 0.02
 #: Shares of the pieces that configurations place, of which the one with the fewest sequences is taken.
-SHARES = (1.0, 0.98, 0.95, 0.9, 0.75, 0.5, 0.0)
+SHARES = (1.0, 0.99, 0.98, 0.97, 0.96, 0.95, 0.93, 0.91, 0.75, 0.5, 0.0)
 #: Sequences of a piece of full capacity are numbered from here on.
 FULL = 1 << 50
 
@@ -144,45 +147,101 @@ def configuration(pick: np.ndarray, room: int, lead: int) -> dict[int, int]:
     return found
 
 
-def filled(config: dict[int, int], left: np.ndarray, open_: list[int], capacity: int) -> dict[int, int]:
-    """The configuration cut to the pieces that are left, its room filled with the longest ones (of open_) that fit."""
-    config = {n: int(min(times, left[n])) for n, times in config.items() if left[n] > 0}
-    room = capacity - sum(n * times for n, times in config.items())
-    at = bisect_right(open_, room) - 1
-    while at >= 0:
-        n = open_[at]
-        more = int(min(room // n, left[n] - config.get(n, 0)))
-        if more > 0:
-            config[n] = config.get(n, 0) + more
-            room -= n * more
-        at = min(at, bisect_right(open_, room)) - 1
+def fullest(left: np.ndarray, open_: list[int], capacity: int) -> dict[int, int]:
+    """The longest piece that is left (open_: the lengths, ascending), and of the others those that fill its sequence best: a bounded knapsack
+    over sums as bits of one number, longer pieces before shorter ones."""
+    lead = open_[-1]
+    room = capacity - lead
+    reach, steps = 1, []  # bit n: some of the pieces so far have length n together
+    within = (1 << (room + 1)) - 1
+    for n in reversed(open_[: bisect_right(open_, room)]):
+        for _ in range(min(int(left[n]) - (n == lead), room // n)):
+            more = (reach | reach << n) & within
+            if more == reach:
+                break
+            reach = more
+            steps.append((n, reach))
+        if reach >> room & 1:
+            break
+    config, at = {lead: 1}, reach.bit_length() - 1
+    while at:
+        # the first step that reaches this sum: its piece is in it
+        low, high = 0, len(steps) - 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if steps[middle][1] >> at & 1 else (middle + 1, high)
+        n = steps[low][0]
+        config[n] = config.get(n, 0) + 1
+        at -= n
+        steps = steps[:low]
     return config
 
 
+def priced(left: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Prices of lengths: the multiplicative weights, which fall with the share that has been covered."""
+    size = np.arange(len(need))
+    return np.where(left > 0, size * (1 + BONUS * size / (len(need) - 1)) * np.exp(-RATE * (1 - left / np.maximum(need, 1e-12))), 0.0)
+
+
+def worthwhile(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[int], np.ndarray, float]:
+    """(lengths around which a configuration is worth almost as much as the best one, the table's picks, the best worth)."""
+    best, pick = knapsack(prices)
+    worth = prices[lengths] + best[capacity - lengths]
+    return lengths[(prices[lengths] > 0) & (worth >= (1 - GAP) * best[capacity])].tolist(), pick, best[capacity]
+
+
+def fractional(need: np.ndarray) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """The linear program by multiplicative weights: how often each configuration {length: times} is taken, so that lengths are covered
+    up to LEFT_OPEN of their counts and none more often than it occurs; and the bound that prices gave (by duality)."""
+    capacity = len(need) - 1
+    lengths = np.flatnonzero(need)[::-1]
+    left = need.astype(float)
+    taken: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    bound = 0.0
+    for _ in range(ROUNDS):
+        if not left.any():
+            break
+        prices = priced(left, need)
+        leads, pick, best = worthwhile(prices, lengths, capacity)
+        bound = max(bound, float((prices * need).sum() / best))
+        for lead in leads:
+            config = configuration(pick, capacity, lead)
+            step = min(left[n] / times for n, times in config.items())
+            if step <= 0:
+                continue
+            step = step if step < 0.05 else max(step / PART, 0.05)
+            taken[tuple(sorted(config.items()))] += step
+            for n, times in config.items():
+                left[n] -= times * step
+                if left[n] < LEFT_OPEN * need[n]:
+                    left[n] = 0.0
+    return taken, bound
+
+
 def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """(configuration, number of sequences) that cover every length exactly as often as it occurs, in the order in which
-    they were found; and the greatest bound from below that prices gave for any packing (by duality)."""
+    """(configuration, number of sequences) that cover every length exactly as often as it occurs, and the bound from
+    below.  The fractional solution is rounded down; what is open after that is covered by whole sequences at the same prices."""
     need = np.zeros(capacity + 1, dtype=np.int64)
     need[list(histogram)] = list(histogram.values())
     lengths = np.flatnonzero(need)[::-1]
     left = need.copy()
-    size = np.arange(capacity + 1)
-    base = size * (1 + BONUS * size / capacity)
     out: list[tuple[dict[int, int], int]] = []
-    bound = 0.0
 
     def take(config: dict[int, int], n: int) -> None:
         out.append((config, n))
         for length, times in config.items():
             left[length] -= times * n
 
+    x, bound = fractional(need)
+    for config, times in x.items():
+        if times >= 1:
+            take(dict(config), int(times))
     while left.any():
-        prices = np.where(left > 0, base * np.exp(-RATE * (1 - left / np.maximum(need, 1))), 0.0)
-        best, pick = knapsack(prices)
-        bound = max(bound, float((prices * need).sum() / best[capacity]))
-        worth = prices[lengths] + best[capacity - lengths]
+        leads, pick, _ = worthwhile(priced(left, need), lengths, capacity)
         found = 0
-        for lead in lengths[(left[lengths] > 0) & (worth >= (1 - GAP) * best[capacity])].tolist():
+        for lead in leads:
+            if left[lead] <= 0:
+                continue
             config = configuration(pick, capacity, lead)
             whole = int(min(left[n] // times for n, times in config.items()))
             if whole > 0:
@@ -190,9 +249,10 @@ def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int
                 found += 1
         if found < LEAST:
             open_ = np.flatnonzero(left).tolist()
-            for lead in open_[: -4 * LEAST - 1 : -1]:
-                if left[lead] > 0:
-                    take(filled(configuration(pick, capacity, lead), left, open_, capacity), 1)
+            for _ in range(4 * LEAST):
+                if open_:
+                    take(fullest(left, open_, capacity), 1)
+                    open_ = [n for n in open_ if left[n]]
     return out, bound
 
 
@@ -257,6 +317,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     bound = max(-(-sum(n * c for n, c in histogram.items()) // capacity), int(np.ceil(dual - 1e-6)))
     pieces = sum(histogram.values())
     plans = []
+    # the fullest sequences stand; what the others hold is repaired
+    solved.sort(key=lambda x: -sum(n * times for n, times in x[0].items()))
     for share in SHARES:
         left, taken, placed = dict(histogram), [], 0
         for config, n in solved:

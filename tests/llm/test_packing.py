@@ -135,6 +135,43 @@ def test_configurations_place_most_pieces(pieces):
     assert plan.sequences <= plain(histogram) and plan.sequences <= 1.001 * plan.bound + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents_are_placed_by_configurations(spark, sf):
+    """On the tables' own lengths nearly all pieces are placed by the program, in no more sequences than best fit takes."""
+    cut = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), PATH)
+    histogram = {r["length"]: r["count"] for r in cut.filter(f"length < {packing.CAPACITY}").groupBy("length").count().collect()}
+    plan = packing.plan(histogram)
+    assert plan.placed > 0.9 * sum(histogram.values()) and plan.sequences <= plain(histogram) and plan.sequences <= plan.bound + 1
+
+
+def test_fractions_cover_what_there_is():
+    """No length is covered more often than it occurs, and the solution is at least the bound."""
+    need = np.zeros(2049, dtype=np.int64)
+    for n, c in lognormal(100_000).items():
+        need[n] = c
+    taken, bound = packing.fractional(need)
+    covered = np.zeros(2049)
+    for config, times in taken.items():
+        assert times > 0 and sum(n * k for n, k in config) <= 2048
+        for n, k in config:
+            covered[n] += k * times
+    assert (covered <= need + 1e-6).all() and covered.sum() > 0.3 * need.sum()
+    assert any(times != int(times) for times in taken.values()) and bound <= packing.plan(lognormal(100_000)).sequences
+
+
+def test_fullest_against_all_subsets():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sizes = sorted(rng.integers(1, 30, 9).tolist())
+        left = np.bincount(sizes, minlength=61)
+        config = packing.fullest(left, sorted(set(sizes)), 60)
+        assert config[sizes[-1]] >= 1 and all(left[n] >= k for n, k in config.items())
+        sums = {0}
+        for n in sizes[:-1]:
+            sums |= {s + n for s in sums}
+        assert sum(n * k for n, k in config.items()) == sizes[-1] + max(s for s in sums if s <= 60 - sizes[-1])
+
+
 def test_plan_is_near_the_bound():
     histogram = Counter(np.random.default_rng(1).integers(1, 2048, 5000).tolist())
     plan = packing.plan(histogram)
