@@ -408,8 +408,9 @@ SIMILAR = {"shingle": 5, "similarity": 0.8}
 #: Bands of a MinHash and values in each: a pair of similarity 0.8 shares a band in all but 5 of 100,000 cases.
 BANDS = 25
 ROWS = 5
-#: Members of a bucket that a task compares with as many others.
+#: Members of a bucket, and shingles of them all, that a task compares with as many others.
 MEMBERS = 1024
+ITEMS = 1 << 20
 
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 SKETCHES_DDL = "doc_id long, key long, fp long, size int, bands array<long>"
@@ -490,9 +491,9 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFram
     each = stage(prints.groupBy("fp").agg(F.max("size").alias("size"), F.first("bands").alias("bands")), "distinct")
     filed = each.select("fp", "size", F.explode("bands").alias("bucket"))
     one = F.struct("fp", "size")
-    buckets = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high"), F.bit_xor(F.xxhash64("fp")).alias("mark")).filter("n > 1")
+    buckets = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("items"), F.min(one).alias("low"), F.max(one).alias("high"), F.bit_xor(F.xxhash64("fp")).alias("mark")).filter("n > 1")
     # buckets with the same members count once
-    buckets = buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
+    buckets = buckets.groupBy("n", "items", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
     members = stage(filed.join(buckets, "bucket"), "members")
 
     reps = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("r"))
@@ -502,16 +503,23 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFram
     sets = stage(shingle_sets(texts, shingle), "sets")
 
     near = F.least("size", "other.size") >= similarity * F.greatest("size", "other.size")
-    pairs = members.select("fp", "size", F.explode(F.array("low", "high")).alias("other")).filter((F.col("fp") != F.col("other.fp")) & near)
-    pairs = pairs.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    # the two that all are compared with go out in parts, as many as their bucket is large, so no task meets all members of one
+    parts = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / MEMBERS)))).cast("int")
+    ends = F.explode(F.array("low", "high")).alias("other")
+    sent = buckets.select(ends, parts.alias("parts")).select(F.col("other.fp").alias("b"), "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = members.select("fp", "size", ends, parts.alias("parts")).filter((F.col("fp") != F.col("other.fp")) & near)
+    pairs = pairs.select(F.col("fp").alias("a"), F.col("other.fp").alias("b"), "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")).distinct()
+    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
+    right = sent.join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    met = left.join(right, ["b", "parts", "part"])
     both = F.size(F.array_intersect("x", "y"))
-    first = stage(pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    alike = met.filter(both >= similarity * (F.size("x") + F.size("y") - both))
+    first = stage(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
     # up to three members: the two have been compared with all
-    rest = members.filter("n > 3").join(components(first), F.col("fp") == F.col("node"), "left").select("bucket", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    rest = members.filter("n > 3").join(components(first), F.col("fp") == F.col("node"), "left").select("bucket", "n", F.col("items").alias("all_items"), "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("bucket")
-    rest = rest.join(mixed, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    rest = rest.join(mixed, "bucket", "left_semi").withColumn("blocks", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("all_items") / ITEMS)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", "fp", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "fp")

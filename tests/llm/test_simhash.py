@@ -181,3 +181,24 @@ def test_stage_follows_chains(spark, monkeypatch, members):
     assert 1 < len(want) < 80
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
+
+
+def test_bucket_of_long_texts(spark, monkeypatch):
+    """2,000 long texts that share most of their words, some of them near copies: blocks by shingles, and no task holds more than two."""
+    monkeypatch.setattr(simhash, "ITEMS", 40_000)
+    monkeypatch.setattr(simhash, "MEMBERS", 256)
+    rng, rows = np.random.default_rng(12), []
+    base = [f"w{x}" for x in range(400)]
+    for n in range(2000):
+        words = list(base)
+        # a third are near copies of the base; the others have a stretch of their own that brings them to about 0.7
+        if n % 3:
+            words[100:180] = [f"v{n}x{x}" for x in range(80)]
+        else:
+            words[int(rng.integers(0, 400))] = f"v{n}"
+        rows.append((n, " ".join(words)))
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
+    a, b, c = sets[1], sets[2], sets[0]
+    assert len(a & b) < 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+    assert kept == {0} | {n for n in range(2000) if n % 3}
