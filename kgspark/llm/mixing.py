@@ -22,15 +22,16 @@ Cases: null text: size 0, taken 0.  Null doc_id: a document like any other.  Nul
 order.  A source without words: target 0.  Repeated rows: each has its own copies, which differ by one at most.  Ties:
 none, as items differ in doc_id, source, size or the hash of the text.  Empty table: no rows.  Very long texts: only
 their sizes and hashes travel.  Columns but doc_id, source and text, whatever their names, are not read; take() returns
-them as they are.  The targets are computed in one task, from one row a source.
+them as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import documents, free_names, one_row_each, stage
+from kgspark.operators.ranking import TASK_ROWS, global_rank, running_sums
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -59,26 +60,25 @@ def items_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "source", "size", "__key").agg(F.count("*").alias("rows"))
 
 
-def targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """source, source_size, items, target.  One row a source; the window runs over sources, not documents.
-
-    With all sources ordered by cap x size / weight, those that reach their cap are a prefix: source i is
-    capped if the level that the uncapped rest would get is above its own ratio."""
-    each = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items"))
+def targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, task_rows: int = TASK_ROWS) -> DataFrame:
+    """source, source_size, items, target.  With all sources ordered by cap x size / weight, those that reach their cap are a prefix: source
+    i is capped if the level that the uncapped rest would get is above its own ratio.  Places and prefix sums come from ranges of about
+    task_rows sources, so more of them than that are no single task's."""
+    each = stage(items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items")), "sources")
     # UTF-8 bytes order as code points do; null comes last
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    each = each.withColumn("__w", weight).withColumn("__cap", F.lit(float(cap)) * F.col("source_size")).withColumn("__ratio", F.col("__cap") / F.col("__w"))
-    order = Window.orderBy("__ratio", F.col("source").asc_nulls_last())
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    each = each.withColumn("__all", F.sum("source_size").over(whole).cast("double")).withColumn("__weights", F.sum("__w").over(whole))
-    each = each.withColumn("__level", (F.col("__all") - F.coalesce(F.sum("__cap").over(earlier), F.lit(0.0))) / (F.col("__weights") - F.coalesce(F.sum("__w").over(earlier), F.lit(0.0))))
+    named = global_rank(each.filter("source IS NOT NULL"), "source", name="__place", task_rows=task_rows)
+    none = each.filter("source IS NULL").withColumn("__place", F.lit(each.filter("source IS NOT NULL").count() + 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    each = named.unionByName(none).withColumn("__w", weight).withColumn("__cap", F.lit(float(cap)) * F.col("source_size")).withColumn("__ratio", F.col("__cap") / F.col("__w"))
+    ranked = stage(global_rank(each, "__ratio", "__place", name="__order", task_rows=task_rows), "ratios")
+    sums = running_sums(ranked, "__order", {"__cap": "__caps", "__w": "__ws", "source_size": "__sizes"}, task_rows=task_rows)
+    earlier = lambda total, own: F.col(total) - F.col(own)
+    level = (F.col("__sizes_total").cast("double") - earlier("__caps", "__cap")) / (F.col("__ws_total") - earlier("__ws", "__w"))
+    sums = stage(sums.withColumn("__level", level), "levels")
     # the first source in this order that keeps below its cap fixes the level for all after it
-    open_ = F.when(F.col("__ratio") > F.col("__level"), F.struct("__ratio", "source", "__level"))
-    each = each.withColumn("__first", F.min(open_).over(whole)).withColumn("__share", F.col("__first.__level"))
-    capped = F.col("__first").isNull() | (F.col("__ratio") <= F.col("__share"))
-    return each.select("source", "source_size", "items", F.when(capped, F.col("__cap")).otherwise(F.col("__share") * F.col("__w")).alias("target"))
+    first = sums.filter(F.col("__ratio") > F.col("__level")).agg(F.min_by("__level", "__order").alias("__share"))
+    capped = F.col("__share").isNull() | (F.col("__ratio") <= F.col("__share"))
+    return sums.join(F.broadcast(first), F.lit(True)).select("source", "source_size", "items", F.when(capped, F.col("__cap")).otherwise(F.col("__share") * F.col("__w")).alias("target"))  # one row
 
 
 def uniform(*columns: Column) -> Column:

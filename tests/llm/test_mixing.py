@@ -109,3 +109,19 @@ def test_small_tables(spark, texts):
 def test_no_python_in_the_plan(odd):
     plan = mixing.mix_documents(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("task_rows", [7, 500_000])
+def test_targets_of_many_sources_come_from_ranges(spark, task_rows):
+    """Sources with equal ratios, without words and without a name, in ranges of a few: the targets of sharing out again and again."""
+    rows = [(i, f"source {i * 37 % 101:03}", (i * i) % 50) for i in range(60)] + [(100, None, 9), (101, "none", 0), (102, "large", 4000)]
+    items = spark.createDataFrame([(d, s, n, d, 1) for d, s, n in rows], "doc_id long, source string, size long, __key long, rows long")
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    names = [*sorted(s for s in sizes if s is not None), None]
+    want = level(sizes, {s: 1 + i % 3 for i, s in enumerate(names)})
+    got = {r["source"]: r for r in mixing.targets(items, task_rows=task_rows).collect()}
+    assert got.keys() == sizes.keys()
+    for s in sizes:
+        assert got[s]["source_size"] == sizes[s] and got[s]["target"] == pytest.approx(want[s], abs=1e-6)
