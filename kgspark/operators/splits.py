@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.operators.ranking import global_rank, hash_order, top_k
+from kgspark.operators.ranking import TASK_ROWS, global_rank, hash_order, running_sums, top_k
+from kgspark.sources.staging import stage
 
 KEY = ["head", "relation", "tail"]
 
@@ -57,26 +57,44 @@ def categorize(treats: DataFrame, compat: bool = False) -> DataFrame:
     return out.withColumn("group", group).select(*KEY, "category", "group")
 
 
-def group_sample(categorized: DataFrame, shares: dict[str, float], seed: int = 42, overshoot: float = 1.5) -> DataFrame:
-    """Test edges by category: groups in hash order, whole, while they fit the target; a group that would
-    go over it is taken only up to overshoot x target.  One row a group (its size) is walked in order,
-    in a task of its category; the edges are joined back."""
-    total = categorized.count()
-    groups = categorized.groupBy("category", "group").agg(F.count("*").alias("size")).withColumn("__h", hash_order(seed, "category", "group"))
-    targets = {c: int(total * s) for c, s in shares.items()}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = targets.get(pdf["category"].iloc[0], 0)
-        pdf = pdf.sort_values(["__h", "group"])
-        taken, keep = 0, []
-        for size in pdf["size"]:
-            fits = taken < target and taken + size <= max(target, int(target * overshoot))
-            keep.append(fits)
-            taken += size if fits else 0
-        return pdf.loc[keep, ["category", "group"]]
-
-    chosen = groups.groupBy("category").applyInPandas(walk, "category string, group string")
-    return categorized.join(chosen, ["category", "group"], "left_semi").select(categorized.columns)
+def group_sample(categorized: DataFrame, shares: dict[str, float], seed: int = 42, overshoot: float = 1.5, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Test edges by category: groups in hash order, whole, until the target is reached; a group with which a category would have
+    more than overshoot x target is passed over.
+
+    A group no larger than what may go beyond the target is never passed over, so such groups are taken by their prefix sums, which come
+    from ranges of the order.  Only larger ones may be; each that is taken brings the sum so much nearer the target that few are: they are
+    found one after another, by an aggregate each (1 / (overshoot - 1) + 2 at most).  The driver holds those."""
+    if overshoot < 1.1:
+        raise ValueError("overshoot must be 1.1 at least")
+    groups = categorized.groupBy("category", "group").agg(F.count("*").alias("size"))
+    groups = stage(groups.withColumn("__key", F.concat_ws("|", "category", hash_order(seed, "category", "group"), "group")), "groups")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    target = {c: int(total * s) for c, s in shares.items()}
+    limit = {c: max(n, int(n * overshoot)) for c, n in target.items()}
+
+    def of(values: dict):
+        return F.coalesce(*[F.when(F.col("category") == c, F.lit(v)) for c, v in values.items()], F.lit(0)).cast("long")
+
+    small = F.col("size") <= of(limit) - of(target)
+    summed = running_sums(groups.withColumn("__small", F.when(small, F.col("size")).otherwise(0)), "__key", {"__small": "__upto"}, task_rows=task_rows)
+    start = summed.groupBy("category").agg(F.min(F.col("__upto") - F.col("__small")).alias("__start"))  # a row a category
+    each = summed.join(F.broadcast(start), "category").withColumn("__before", F.col("__upto") - F.col("__small") - F.col("__start")).drop("__upto", "__upto_total", "__start")
+    each = stage(each, "walked")
+    taken: dict[str, list[tuple[str, int]]] = {c: [] for c in shares}
+    while True:
+        last = {c: v[-1][0] if v else "" for c, v in taken.items()}
+        so_far = F.col("__before") + of({c: sum(n for _, n in v) for c, v in taken.items()})
+        after = F.col("__key") > F.coalesce(*[F.when(F.col("category") == c, F.lit(k)) for c, k in last.items()], F.lit(""))
+        fits = each.filter(~small & after & (so_far < of(target)) & (so_far + F.col("size") <= of(limit)))
+        found = fits.groupBy("category").agg(F.min(F.struct("__key", "size")).alias("g")).collect()
+        if not found:
+            break
+        for r in found:
+            taken[r["category"]].append((r["g"]["__key"], r["g"]["size"]))
+    large = [(c, k, n) for c, v in taken.items() for k, n in v]
+    earlier = sum((F.when((F.col("category") == c) & (F.col("__key") > k), F.lit(n)).otherwise(0) for c, k, n in large), F.lit(0))
+    chosen = each.filter(F.when(small, F.col("__before") + earlier < of(target)).otherwise(F.col("__key").isin([k for _, k, _ in large])))
+    return categorized.join(chosen.select("category", "group"), ["category", "group"], "left_semi").select(categorized.columns)
 
 
 def negatives(scores: DataFrame, positives: DataFrame, per_tail: int = 20, seed: int = 42) -> DataFrame:

@@ -347,10 +347,33 @@ def treats_categories(v):
     return splits.categorize(v("treats"))
 
 
-@query()
+SHARES = {"one_to_one": 0.06, "one_to_many": 0.02, "many_to_one": 0.02, "many_to_many": 0.02}
+
+
+def group_sample_sql(group: str, shares: dict[str, float] = SHARES) -> str:
+    """The walk over groups in hash order, one step a row."""
+    listed = ", ".join(f"('{c}', CAST({s} AS DOUBLE))" for c, s in shares.items())
+    fits = "w.taken + g.size <= GREATEST(s.target, FLOOR(s.target * 1.5))"
+    return f"""WITH RECURSIVE {CATEGORIES}, c AS (SELECT *, {group} AS grp FROM cat),
+g AS (SELECT category, grp, COUNT(*) AS size, ROW_NUMBER() OVER (PARTITION BY category ORDER BY MD5('42|' || category || '|' || grp), grp) AS n FROM c GROUP BY category, grp),
+s AS (SELECT category, CAST(FLOOR(share * (SELECT COUNT(*) FROM c)) AS BIGINT) AS target FROM (VALUES {listed}) x(category, share)),
+w AS (SELECT category, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS taken, CAST(NULL AS VARCHAR) AS grp, FALSE AS keep FROM s
+UNION ALL SELECT w.category, g.n, CASE WHEN {fits} THEN w.taken + g.size ELSE w.taken END, g.grp, {fits} FROM w JOIN g ON g.category = w.category AND g.n = w.n + 1 JOIN s ON s.category = w.category WHERE w.taken < s.target)
+SELECT c.head, c.relation, c.tail, c.category, c.grp AS "group" FROM c JOIN w ON w.category = c.category AND w.grp = c.grp AND w.keep"""
+
+
+GROUP_SQL = "CASE category WHEN 'one_to_many' THEN head WHEN 'many_to_one' THEN tail ELSE head || '|' || relation || '|' || tail END"
+
+
+@query(group_sample_sql(GROUP_SQL), "treats")
 def group_sample(v):
-    shares = {"one_to_one": 0.06, "one_to_many": 0.02, "many_to_one": 0.02, "many_to_many": 0.02}
-    return splits.group_sample(splits.categorize(v("treats")), shares)
+    return splits.group_sample(splits.categorize(v("treats")), SHARES)
+
+
+@query(group_sample_sql("head"), "treats")
+def group_sample_by_head(v):
+    """The same with all edges of a head as a group, whatever their category: groups of several edges, some passed over."""
+    return splits.group_sample(splits.categorize(v("treats")).withColumn("group", F.col("head")), SHARES)
 
 
 @query("SELECT head, relation, tail FROM tests", "tests")

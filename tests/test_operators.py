@@ -323,3 +323,34 @@ def test_mark_and_matrix(spark):
     a = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
     assert [r["hit"] for r in joins.mark(a, spark.createDataFrame([(2,), (2,)], "j int"), ["k"], "hit", as_int=True).orderBy("k").collect()] == [0, 1]
     assert joins.matrix(a.select("k"), a.select("v"), "p").count() == 4
+
+
+@pytest.mark.parametrize("task_rows", [9, 500_000])
+@pytest.mark.parametrize("overshoot", [1.2, 1.5, 3.0])
+def test_group_sample_is_the_walk(spark, task_rows, overshoot):
+    """Groups of very different sizes, in ranges of a few: what a walk in hash order takes, step by step."""
+    import hashlib
+    import random
+
+    rng = random.Random(int(overshoot * 10))
+    rows, n = [], 0
+    for category in ("a", "b", "c", "d"):
+        for group in range(60):
+            for _ in range(rng.choice([1, 1, 2, 3, 9, 25, 60])):
+                rows.append((str(n := n + 1), "r", "t", category, f"{category}{group}"))
+    shares = {"a": 0.05, "b": 0.02, "c": 0.001, "d": 0.9}
+    sizes, want = {}, set()
+    for *_, category, group in rows:
+        sizes[category, group] = sizes.get((category, group), 0) + 1
+    for category, share in shares.items():
+        target = int(len(rows) * share)
+        taken, limit = 0, max(target, int(target * overshoot))
+        for group in sorted((g for c, g in sizes if c == category), key=lambda g: (hashlib.md5(f"42|{category}|{g}".encode()).hexdigest(), g)):
+            if taken >= target:
+                break
+            if taken + sizes[category, group] <= limit:
+                taken += sizes[category, group]
+                want.add((category, group))
+    df = spark.createDataFrame(rows, "head string, relation string, tail string, category string, group string")
+    got = splits.group_sample(df, shares, overshoot=overshoot, task_rows=task_rows).collect()
+    assert {(r["category"], r["group"]) for r in got} == want and len(got) == sum(sizes[x] for x in want)
