@@ -837,6 +837,43 @@ def best_threshold(v):
     return metrics.best_threshold(v("scores"), "score", "is_treat")
 
 
+# the scores, and coarser ones: two models of the same pairs
+REPORT_SQL = f"""m AS (SELECT 'fine' AS model, score, is_treat FROM scores UNION ALL SELECT 'coarse', FLOOR(score / 10) * 10, is_treat FROM scores),
+t AS (SELECT DISTINCT score AS threshold FROM m UNION SELECT CAST(x AS DOUBLE) FROM (VALUES (12.5), (70)) v(x)),
+c AS (SELECT model, score, COUNT(*) FILTER (is_treat = 1) AS p, COUNT(*) FILTER (is_treat = 0) AS q FROM m GROUP BY model, score),
+f AS (SELECT n.model, t.threshold, COALESCE(c.p, 0) AS p, COALESCE(c.q, 0) AS q FROM t CROSS JOIN (SELECT DISTINCT model FROM m) n LEFT JOIN c ON c.model = n.model AND c.score = t.threshold),
+r AS (SELECT model, threshold, CAST(SUM(p) OVER w AS BIGINT) AS tp, CAST(SUM(q) OVER w AS BIGINT) AS fp, CAST(SUM(q) OVER a - SUM(q) OVER w AS BIGINT) AS tn, CAST(SUM(p) OVER a - SUM(p) OVER w AS BIGINT) AS fn FROM f WINDOW w AS (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY model)),
+report AS (SELECT *, {RATES_SQL} FROM r)"""
+
+
+def reported(v) -> DataFrame:
+    s = v("scores").select("score", "is_treat")
+    coarse = s.withColumn("score", (F.floor(F.col("score") / 10) * 10).cast("double"))
+    return metrics.threshold_report({"fine": (s, "score", "is_treat"), "coarse": (coarse, "score", "is_treat")}, (12.5, 70.0))
+
+
+@query(f"WITH {REPORT_SQL} SELECT * FROM report", "scores")
+def threshold_report(v):
+    return reported(v)
+
+
+@query(f"WITH {REPORT_SQL}, k AS (SELECT model, 'f1' AS metric, threshold, f1 AS value FROM report UNION ALL SELECT model, 'balanced_accuracy', threshold, balanced_accuracy FROM report) SELECT model, metric, ROUND(threshold, 6) AS threshold, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model, metric ORDER BY value DESC, threshold) AS n FROM k) x WHERE n = 1", "scores")
+def model_thresholds(v):
+    return metrics.best_of_report(reported(v))
+
+
+# two columns between 0 and 1 for each row of a result file stand for its p-values
+P_VALUES = "p AS (SELECT test_id, AVG(TracInScore) - FLOOR(AVG(TracInScore)) AS p_mrr, CASE WHEN COUNT(*) > 3 THEN AVG(SelfInfluence) - FLOOR(AVG(SelfInfluence)) END AS p_map FROM influence GROUP BY test_id)"
+MEASURE = "SELECT '{0}' AS measure, {1} AS p, COALESCE(p_{2} < 0.05, FALSE) AS m5, COALESCE(p_{2} < 0.01, FALSE) AS m1 FROM p"
+
+
+@query(f"WITH {P_VALUES}, k AS ({MEASURE.format('p_mrr', 'p_mrr', 'mrr')} UNION ALL {MEASURE.format('p_map', 'p_map', 'map')} UNION ALL SELECT 'all', NULL, COALESCE(p_mrr < 0.05, FALSE) AND COALESCE(p_map < 0.05, FALSE), COALESCE(p_mrr < 0.01, FALSE) AND COALESCE(p_map < 0.01, FALSE) FROM p UNION ALL SELECT 'any', NULL, COALESCE(p_mrr < 0.05, FALSE) OR COALESCE(p_map < 0.05, FALSE), COALESCE(p_mrr < 0.01, FALSE) OR COALESCE(p_map < 0.01, FALSE) FROM p) SELECT measure, COUNT(*) AS tests, ROUND(AVG(p), 6) AS mean_p, ROUND(MEDIAN(p), 6) AS median_p, COUNT(*) FILTER (m5) AS significant_05, ROUND(100.0 * COUNT(*) FILTER (m5) / COUNT(*), 6) AS percent_05, COUNT(*) FILTER (m1) AS significant_01, ROUND(100.0 * COUNT(*) FILTER (m1) / COUNT(*), 6) AS percent_01 FROM k GROUP BY measure", "influence")
+def significance_counts(v):
+    p = v("influence").groupBy("test_id").agg(F.avg("TracInScore").alias("a"), F.avg("SelfInfluence").alias("b"), F.count("*").alias("n"))
+    p = p.select((F.col("a") - F.floor("a")).alias("p_mrr"), F.when(F.col("n") > 3, F.col("b") - F.floor("b")).alias("p_map"))
+    return metrics.significance(p, ["p_mrr", "p_map"])
+
+
 ROC_SQL = "by_score AS (SELECT score, COUNT(*) FILTER (is_treat = 1) AS p, COUNT(*) FILTER (is_treat = 0) AS q FROM scores GROUP BY score), pt AS (SELECT score, CAST(SUM(p) OVER w AS BIGINT) AS tp, CAST(SUM(q) OVER w AS BIGINT) AS fp, CAST(SUM(p) OVER () AS BIGINT) AS ps, CAST(SUM(q) OVER () AS BIGINT) AS qs FROM by_score WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
 
 
