@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import two_sample as T
-from kgspark.operators.ranking import global_rank, running_sums
+from kgspark.operators.ranking import TASK_ROWS, global_rank, running_sums
 from kgspark.sources.staging import stage
 
 
@@ -96,7 +96,20 @@ BLOCK_ROWS = 500_000
 MOST_BLOCKS = 1000
 
 
-def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutations: int = 1000, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def ranked_in_tests(by_value: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """by_value (t, x, f, v) with the rank s by t, then x descending, then f and v.  More rows than a task ranks are dealt by the number of their test
+    and their rank by value together, so that a large test is many ranges."""
+    n = by_value.count()
+    if n <= task_rows:
+        return global_rank(by_value, "t", F.col("x").desc(), "f", "v", name="s", task_rows=task_rows)
+    tests = global_rank(by_value.select("t").distinct(), "t", name="__test", task_rows=task_rows).withColumnRenamed("t", "__t")
+    falling = global_rank(by_value, "x", "f", "v", name="__falling", descending=True, task_rows=task_rows)
+    both = falling.join(tests, F.col("t").eqNullSafe(F.col("__t"))).drop("__t")
+    both = stage(both.withColumn("__key", F.col("__test").cast("decimal(20,0)") * F.lit(n + 1) + F.col("__falling")), "falling")
+    return global_rank(both, "__key", name="s", task_rows=task_rows).drop("__test", "__falling", "__key")
+
+
+def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutations: int = 1000, seed: int = 42, block_rows: int = BLOCK_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Do flagged rows score higher than chance would have it?  The flag is shuffled over all rows; the
     differences of means and medians are two-sided, U, mean reciprocal rank, average precision and KS one-sided.
 
@@ -105,8 +118,8 @@ def permutation_test(rows: DataFrame, test: str, value: str, flag: str, permutat
     rows.  Sums add up over blocks; what needs an order (medians, KS, ranks within a test that spans blocks) takes the
     counts of the blocks before as its start, in a second pass.  No task holds more than a block."""
     base = rows.select(F.col(test).cast("string").alias("t"), F.col(value).cast("double").alias("x"), (F.col(flag).cast("int") == 1).alias("f"))
-    by_value = global_rank(stage(base, "permuted"), "x", "t", "f", name="v")
-    ranked = stage(global_rank(by_value, "t", F.col("x").desc(), "f", "v", name="s").withColumns({"v": F.col("v") - 1, "s": F.col("s") - 1}), "ranked")
+    by_value = stage(global_rank(stage(base, "permuted"), "x", "t", "f", name="v", task_rows=task_rows), "by-value")
+    ranked = stage(ranked_in_tests(by_value, task_rows).withColumns({"v": F.col("v") - 1, "s": F.col("s") - 1}), "ranked")
     n, flagged = ranked.agg(F.count("*"), F.count_if("f")).first()
     schema = "id long, metric string, value double"
     if not flagged or flagged == n:

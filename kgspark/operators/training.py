@@ -117,15 +117,16 @@ class Adam:
             w[at] -= self.rate * (self.m[name][at] / (1 - 0.9**self.n)) / (np.sqrt(self.v[name][at] / (1 - 0.999**self.n)) + 1e-8)
 
 
-def train(triples: DataFrame, weights: dict[str, np.ndarray], height: int, width: int, epochs: int = 5, rounds: int = 4, negatives: int = 2, rate: float = 0.01, seed: int = 42, smoothing: float = 0.1) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights after `epochs` passes over triples (h, r, t), each in `rounds` steps, and the mean loss of each epoch."""
+def train(triples: DataFrame, weights: dict[str, np.ndarray], height: int, width: int, epochs: int = 5, rounds: int = 4, negatives: int = 2, rate: float = 0.01, seed: int = 42, smoothing: float = 0.1, adam: Adam | None = None, first_epoch: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Weights after `epochs` passes over triples (h, r, t), each in `rounds` steps, and the mean loss of each epoch.  With adam, and
+    the number of epochs so far, training goes on where it was."""
     spark = triples.sparkSession
     entities = len(weights["entities"])
-    adam = Adam(weights, rate)
+    adam = adam or Adam(weights, rate)
     false = [F.pmod(F.xxhash64("h", "r", "t", F.lit(seed), F.lit(j)), F.lit(entities)).alias("x") for j in range(negatives)]
     labelled = triples.select("h", "r", "t", F.xxhash64("h", "r", "t", F.lit(seed)).alias("__h"), F.array("t", *false).alias("tails")).persist()
     losses = []
-    for epoch in range(epochs):
+    for epoch in range(first_epoch, first_epoch + epochs):
         total, seen = 0.0, 0
         for step in range(rounds):
             sent = spark.sparkContext.broadcast(ConvScorer({k: v.copy() for k, v in weights.items()}, height, width))

@@ -307,6 +307,15 @@ def test_permutations(spark, block_rows):
     assert got["u"]["mean_permuted"] == pytest.approx(50 * 150 / 2, rel=0.03)
 
 
+def test_ranks_of_a_large_test_come_from_ranges(spark):
+    """One test with nearly all rows, ties and a null test: the same ranks in ranges of 17 as in one."""
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 9 else f"t{i % 5}" if i % 2 else None, float(rng.integers(0, 12)), bool(rng.integers(0, 2)), i + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "t string, x double, f boolean, v long")
+    small, whole = ({r["v"]: r["s"] for r in stats.ranked_in_tests(df, n).collect()} for n in (17, 1000))
+    assert small == whole and sorted(small.values()) == list(range(1, 301))
+
+
 def test_permutations_without_a_choice(spark):
     for flags in ([], [0, 0], [1, 1]):
         assert stats.permutation_test(spark.createDataFrame([("a", 1.0, f) for f in flags], "t string, v double, f int"), "t", "v", "f", 9).collect() == []
