@@ -79,7 +79,7 @@ def test_odd_tables(spark, odd, none):
         assert docs.count() >= (10 if table is odd else 0)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("op13")))  # that one reads embeddings
 def test_queries_cover_the_table(spark, name):
     out = QUERIES[name](spark, SF)
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
