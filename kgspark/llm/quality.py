@@ -115,7 +115,8 @@ def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             keys.append(np.repeat(t.row, each) * FEATURES + feature[np.repeat(first[t.word], each) + place])
         found, n = np.unique(np.concatenate(keys), return_counts=True)
         cuts = np.searchsorted(found, np.arange(1, t.rows) * FEATURES)
-        out += list(zip((f % FEATURES for f in np.split(found, cuts)), np.split(n, cuts)))
+        # what is kept for all epochs: two arrays of 32 bits for each 64 texts, and views of them
+        out += list(zip(np.split((found % FEATURES).astype(np.int32), cuts), np.split(n.astype(np.int32), cuts)))
     return out
 
 
