@@ -127,6 +127,15 @@ def test_global_rank_over_ranges(spark):
         assert keys == sorted(keys, reverse=descending)
 
 
+def test_global_rank_over_ranges_by_any_name(spark):
+    """The name that dictionaries, splits and samples give the rank (__n) is no helper column's."""
+    df = spark.range(300).select(F.concat(F.lit("k"), F.col("id")).alias("label"))
+    for name in ("__n", "__before", "rank"):
+        got = ranking.global_rank(df, "label", name=name, task_rows=50).collect()
+        assert [r["label"] for r in sorted(got, key=lambda r: r[name])] == sorted(f"k{i}" for i in range(300))
+        assert {r[name] for r in got} == set(range(1, 301))
+
+
 def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(3)
     keys = rng.permutation(700).tolist()
