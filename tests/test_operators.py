@@ -136,6 +136,12 @@ def test_global_rank_over_ranges_by_any_name(spark):
         assert {r[name] for r in got} == set(range(1, 301))
 
 
+def test_exact_mean(spark):
+    """Ten times 0.1 are 1, in any order of rows, and nulls don't count."""
+    rows = spark.createDataFrame([(0.1,)] * 10 + [(None,)], "x double").coalesce(1)
+    assert rows.agg(metrics.exact_mean("x")).first()[0] == 0.1
+
+
 def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(3)
     keys = rng.permutation(700).tolist()
