@@ -37,7 +37,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import ODD, arrow_rows, chunks, documents, free_names, mix, one_row_each, stage, texts_of
@@ -412,8 +412,8 @@ ROWS = 5
 MEMBERS = 1024
 ITEMS = 1 << 20
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
-SKETCHES_DDL = "doc_id long, key long, fp long, size int, bands array<long>"
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("print", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+SKETCHES_DDL = "doc_id long, key long, fp long, print long, size int, bands array<long>"
 _N = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
 _TIMES, _PLUS = (mix(_N * ODD) | np.uint64(1))[:, None], mix(_N * ODD + ODD)[:, None]
 
@@ -428,15 +428,20 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, key (a hash of the text), fp (a hash of the set of shingles), size (of that set) and bands."""
+    """doc_id, key (a hash of the text), fp (a hash of the set of shingles), print (the fingerprint of the shingles), size (of that
+    set) and bands."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                sets = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(part).cast(pa.large_binary()).to_pylist()]
+                prints, sets = [], []
+                for t in texts_of(part).cast(pa.large_binary()).to_pylist():
+                    h = shingle_hashes(t, shingle)
+                    prints.append(majority(h))
+                    sets.append(np.unique(h))
                 fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in sets], dtype=np.uint64)
                 bands = [band_keys(h).view(np.int64) if len(h) else [] for h in sets]
-                yield arrow_rows(SKETCHES, doc_id=part.column("doc_id"), key=part.column("key"), fp=fp.view(np.int64), size=np.array([len(h) for h in sets], dtype=np.int32), bands=bands)
+                yield arrow_rows(SKETCHES, doc_id=part.column("doc_id"), key=part.column("key"), fp=fp.view(np.int64), print=np.array(prints, dtype=np.uint64).view(np.int64), size=np.array([len(h) for h in sets], dtype=np.int32), bands=bands)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, SKETCHES_DDL)
 
@@ -481,14 +486,48 @@ def links_across(table: pa.Table, similarity: float) -> pa.RecordBatch:
     return arrow_rows(LINKS, a=np.array(a, dtype=np.int64), b=np.array(b, dtype=np.int64))
 
 
-def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def in_parts(n) -> Column:
+    """Parts in which a set goes out that n others are compared with, so no task meets them all."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(n / MEMBERS)))).cast("int")
+
+
+def by_fingerprints(each: DataFrame, max_bits: int) -> DataFrame:
+    """each: distinct sets (fp, print, size) -> a, b, parts, part: a set, and the print whose first set (the least fp) it is to be compared
+    with: its own, or one that the search links to it, then a is a first set, too.  In a bucket's links the first end is what many are linked
+    to, so that one is b and goes out in parts."""
+    firsts = each.groupBy("print").agg(F.min("fp").alias("first"), F.max("size").alias("size"))
+    of_print = stage(firsts.select(F.col("print").alias("fp"), "size", F.lit(None).cast("binary").alias("wide"), "first"), "firsts")
+    found = links(of_print.drop("first"), max_bits).select(F.col("b").alias("__a"), F.col("a").alias("b")).distinct()
+    apart = found.join(of_print.select(F.col("fp").alias("__a"), F.col("first").alias("a")), "__a").select("a", "b")
+    equal = each.select(F.col("fp").alias("a"), F.col("print").alias("b")).join(of_print.select(F.col("first").alias("a")), "a", "left_anti")
+    pairs = stage(apart.unionByName(equal), "met")
+    # one row for each MEMBERS pairs at most
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS).select("b", in_parts(F.col("n")).alias("parts"))
+    pairs = pairs.join(stage(hubs, "hubs"), "b", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return pairs.select("a", "b", "parts", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, asked: DataFrame, similarity: float) -> DataFrame:
+    """a, b: those of the pairs (a, b, parts, part) that the sets (fp, items) decide to be links; asked: b, fp and items of what is compared."""
+    each = pairs.select("b", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
+    right = each.join(asked.select("b", F.col("fp").alias("__b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    met = left.join(right, ["b", "parts", "part"]).filter(both >= similarity * (F.size("x") + F.size("y") - both))
+    return met.select(F.least("a", "__b").alias("a"), F.greatest("a", "__b").alias("b"))
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, key, root of every document; one root for what is linked by a Jaccard similarity of the sets of shingles.
 
-    Sets that share a band meet in a bucket.  All members of a bucket are compared with two of them first; only in
-    buckets that this leaves in several components are all members of different components compared, too.  Every link is
-    decided on the sets themselves."""
+    Fingerprints come first: the search of near_duplicates() names pairs at max_bits differing bits or fewer.  A similarity of 0.8 is
+    about ten bits apart, further than that search can go, so sets that share a band of their MinHash meet in a bucket, too.
+    All members of a bucket are compared with two of them; only in buckets that this and the fingerprints' links leave in several components
+    are all members of different components compared, too.  Every link is decided on the sets themselves."""
     prints = stage(sketches(docs, shingle), "sketches")
-    each = stage(prints.groupBy("fp").agg(F.max("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    each = stage(prints.groupBy("fp").agg(F.min("print").alias("print"), F.max("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    # texts without words have one fp
+    near_prints = stage(by_fingerprints(each.filter("size > 0").select("fp", "print", "size"), max_bits), "near-prints")
     filed = each.select("fp", "size", F.explode("bands").alias("bucket"))
     one = F.struct("fp", "size")
     buckets = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("items"), F.min(one).alias("low"), F.max(one).alias("high"), F.bit_xor(F.xxhash64("fp")).alias("mark")).filter("n > 1")
@@ -496,25 +535,23 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFram
     buckets = buckets.groupBy("n", "items", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
     members = stage(filed.join(buckets, "bucket"), "members")
 
-    reps = prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("r"))
+    firsts = each.filter("size > 0").groupBy("print").agg(F.min("fp").alias("fp"))
+    asked = firsts.join(near_prints.select(F.col("b").alias("print")).distinct(), "print", "left_semi")
+    needed = members.select("fp").union(near_prints.select("a")).union(asked.select("fp")).distinct()
+    reps = prints.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("r"))
     reps = reps.select("fp", F.col("r.doc_id").alias("__doc"), F.col("r.key").alias("__key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
     texts = texts.join(reps, texts["doc"].eqNullSafe(F.col("__doc")) & (texts["key"] == F.col("__key"))).groupBy("fp").agg(F.first("text").alias("text"))
     sets = stage(shingle_sets(texts, shingle), "sets")
 
     near = F.least("size", "other.size") >= similarity * F.greatest("size", "other.size")
-    # the two that all are compared with go out in parts, as many as their bucket is large, so no task meets all members of one
-    parts = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / MEMBERS)))).cast("int")
+    # the two that all are compared with go out in parts, as many as their bucket is large
     ends = F.explode(F.array("low", "high")).alias("other")
-    sent = buckets.select(ends, parts.alias("parts")).select(F.col("other.fp").alias("b"), "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = members.select("fp", "size", ends, parts.alias("parts")).filter((F.col("fp") != F.col("other.fp")) & near)
+    pairs = members.select("fp", "size", ends, in_parts(F.col("n")).alias("parts")).filter((F.col("fp") != F.col("other.fp")) & near)
     pairs = pairs.select(F.col("fp").alias("a"), F.col("other.fp").alias("b"), "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")).distinct()
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a")
-    right = sent.join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
-    met = left.join(right, ["b", "parts", "part"])
-    both = F.size(F.array_intersect("x", "y"))
-    alike = met.filter(both >= similarity * (F.size("x") + F.size("y") - both))
-    first = stage(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    by_print = alike(near_prints, sets, asked.select(F.col("print").alias("b"), "fp").join(sets, "fp"), similarity)
+    by_band = alike(pairs, sets, sets.withColumn("b", F.col("fp")), similarity)
+    first = stage(by_print.union(by_band).distinct(), "links")
 
     # up to three members: the two have been compared with all
     rest = members.filter("n > 3").join(components(first), F.col("fp") == F.col("node"), "left").select("bucket", "n", F.col("items").alias("all_items"), "fp", F.coalesce("root", "fp").alias("root"))

@@ -183,6 +183,30 @@ def test_stage_follows_chains(spark, monkeypatch, members):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == want
 
 
+@pytest.mark.parametrize("members", [1024, 2])
+def test_stage_searches_fingerprints(spark, monkeypatch, members):
+    """The pairs that the fingerprints name connect what 4 bits connect, by brute force; equal fingerprints of different sets are pairs, too."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng, each = np.random.default_rng(14), []
+    for n in range(40):
+        base = int(rng.integers(0, 2**63))
+        for m in range(int(rng.integers(1, 7))):
+            flips = 0 if m == 1 else sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 5)), replace=False))
+            each.append((100 * n + m, base ^ flips, 20))
+    prints = {fp: p for fp, p, _ in each}
+    found = simhash.by_fingerprints(spark.createDataFrame(each, "fp long, print long, size int"), 4).collect()
+    firsts = {}
+    for fp, p, _ in sorted(each, reverse=True):
+        firsts[p] = fp
+    named = {(r["a"], firsts[r["b"]]) for r in found}
+    assert all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in named)
+    near = lambda a, b: (a[1] ^ b[1]).bit_count() <= 4
+    linked = lambda a, b: (a[0], b[0]) in named or (b[0], a[0]) in named
+    groups = lambda f: sorted(sorted(d for d, _ in g) for g in brute_components([(fp, p) for fp, p, _ in each], f))
+    assert groups(linked) == groups(near) and any(len(g) > 3 for g in groups(near))
+    assert members == 1024 or max(r["parts"] for r in found) > 1
+
+
 def test_bucket_of_long_texts(spark, monkeypatch):
     """2,000 long texts that share most of their words, some of them near copies: blocks by shingles, and no task holds more than two."""
     monkeypatch.setattr(simhash, "ITEMS", 40_000)
