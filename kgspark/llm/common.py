@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kgspark.sources.staging import drop_staged, new_path, shared_dir, stage
 
-__all__ = ["chunks", "documents", "drop_staged", "free_names", "held_out", "new_path", "one_row_each", "shared_dir", "stage", "texts_of", "words_of"]
+__all__ = ["chunks", "documents", "drop_staged", "free_names", "give_back", "held_out", "new_path", "one_row_each", "shared_dir", "stage", "texts_of", "words_of"]
 
 #: Constants of the splitmix64 finaliser.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -42,6 +44,14 @@ def one_row_each(docs: DataFrame, *keys: Column) -> DataFrame:
     return rows.groupBy(*names).agg(F.min_by("row", "hash").alias("row")).select("row.*")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the allocators keep it, and on the driver it stands beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def held_out(doc_id):
     """True where crc32 of doc_id as text leaves no remainder by 5: labels of these rows are never learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import MIX, ODD, arrow_rows, chunks, code_points, documents, hash_words, held_out, mix, sums_by, texts_of, words_of
+from kgspark.llm.common import MIX, ODD, arrow_rows, chunks, code_points, documents, give_back, hash_words, held_out, mix, sums_by, texts_of, words_of
 
 FEATURES = 1 << 18
 DIMENSIONS = 8
@@ -183,7 +183,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> t
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    return train(*labelled(docs, labels, "quality", max_rows))
+    model = train(*labelled(docs, labels, "quality", max_rows))
+    give_back()
+    return model
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
