@@ -378,3 +378,37 @@ def test_group_sample_is_the_walk(spark, task_rows, overshoot):
     df = spark.createDataFrame(rows, "head string, relation string, tail string, category string, group string")
     got = splits.group_sample(df, shares, overshoot=overshoot, task_rows=task_rows).collect()
     assert {(r["category"], r["group"]) for r in got} == want and len(got) == sum(sizes[x] for x in want)
+
+
+def test_paths_and_degrees_walk_through_no_hub(spark):
+    """A hub of 400 neighbours one step from the tail: the rows made on the way don't follow its size."""
+    import random
+
+    from kgspark.operators import graph
+    from kgspark.sources.staging import staged_paths
+
+    rng = random.Random(4)
+    rows = [("c", "r", "p"), ("p", "r", "s1"), ("s0", "r", "hub"), ("s1", "r", "hub"), ("c", "r", "q"), ("q", "r", "s0")] + [(f"x{i}", "r", "hub") for i in range(400)]
+    triples = spark.createDataFrame(rows, "head string, relation string, tail string")
+    tests = spark.createDataFrame([("t", "c", "s0"), ("t", "c", "s0"), ("u", "c", "hub")], "test_id string, head string, tail string")
+    before = set(staged_paths(spark))
+    got = sorted((r["test_id"], ">".join(r["nodes"])) for r in graph.simple_paths(triples, tests, 4).collect())
+    ways = ["c>p>s1>hub>s0", "c>q>s0"]
+    assert got == sorted([("t", w) for w in ways for _ in range(2)] + [("u", "c>p>s1>hub"), ("u", "c>q>s0>hub")])
+    made = sum(spark.read.parquet(p).count() for p in set(staged_paths(spark)) - before if "/links-" not in p)
+    assert made < 100
+    lower = [tuple(r) for r in graph.from_lower(graph.undirected(triples)).collect()]
+    assert len(lower) == len(rows) and not [r for r in lower if r[0] == "hub"]
+    # all simple paths of a dense little graph, either way and directed, against plain recursion
+    links = {(f"n{rng.randrange(7)}", "r", f"n{rng.randrange(7)}") for _ in range(22)}
+
+    def plain(path, goal, most, directed):
+        if path[-1] == goal:
+            return [path]
+        near = {t for h, _, t in links if h == path[-1]} | (set() if directed else {h for h, _, t in links if t == path[-1]})
+        return [x for n in near - set(path) for x in plain([*path, n], goal, most, directed)] if len(path) <= most else []
+
+    for directed in (False, True):
+        for most in (1, 2, 3, 5):
+            got = sorted(tuple(r["nodes"]) for r in graph.simple_paths(spark.createDataFrame(sorted(links), "head string, relation string, tail string"), spark.createDataFrame([("t", "n0", "n1"), ("u", "n2", "n5")], "test_id string, head string, tail string"), most, directed).collect())
+            assert got == sorted(tuple(p) for h, t in (("n0", "n1"), ("n2", "n5")) for p in plain([h], t, most, directed))
