@@ -52,15 +52,33 @@ def pairs_out(a: pa.Table, b: pa.Table, out: pa.Table) -> tuple[np.ndarray, np.n
     return order_a[np.repeat(first, times) + place], order_b[np.repeat(at, times)]
 
 
-def product(left: DataFrame, right: DataFrame, fold: Callable[[pa.Table, pa.Table, tuple], pa.Table], schema: str, out: DataFrame | None = None, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
+def product(left: DataFrame, right: DataFrame, fold: Callable[[pa.Table, pa.Table, tuple], pa.Table], schema: str, out: DataFrame | None = None, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS, by: str | None = None) -> DataFrame:
     """fold(a, b, (rows of a, rows of b that don't count)) of every pair of blocks.  left and right: id (long) and further columns;
     out (left_id, right_id): pairs that don't count; right's ids are unique.
-    schema has long and double columns only."""
-    n, m = blocks(left, left_rows), blocks(right, right_rows)
+    schema has long and double columns only.  With by (few values), the rows of a left block are equal in that column."""
+    m = blocks(right, right_rows)
+    if by is None:
+        n, own_block = blocks(left, left_rows), lambda n: numbered("id", n)
+    else:
+        n, dealt = 0, []
+        for value, count in left.groupBy(by).count().collect():
+            dealt.append((value, n, -(-count // left_rows)))
+            n += dealt[-1][2]
+        if not dealt:
+            dealt, n = [(None, 0, 1)], 1
+
+        def own_block(n):
+            block = F.lit(0)
+            for value, first, size in dealt:
+                block = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(first) + numbered("id", size)).otherwise(block)
+            return block.cast("int")
+
+        if out is not None:
+            out = out.join(left.select(F.col("id").alias("left_id"), by).distinct(), "left_id").withColumn("id", F.col("left_id"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = left.select("*", F.lit(None).cast("long").alias("__other"), numbered("id", n).alias("__l"), every(m).alias("__r"))
+    a = left.select("*", F.lit(None).cast("long").alias("__other"), own_block(n).alias("__l"), every(m).alias("__r"))
     if out is not None:
-        sent = out.select(F.col("left_id").alias("id"), F.col("right_id").alias("__other"), numbered("left_id", n).alias("__l"), numbered("right_id", m).alias("__r"))
+        sent = out.select(F.col("left_id").alias("id"), F.col("right_id").alias("__other"), (numbered("left_id", n) if by is None else own_block(n)).alias("__l"), numbered("right_id", m).alias("__r"))
         a = a.unionByName(sent, allowMissingColumns=True)
     # columns of their own: where both sides come from one table, the optimizer would prune those of the right side
     b = right.select(*[F.col(c).alias(c) for c in right.columns]).select("*", numbered("id", m).alias("__r"), every(n).alias("__l"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import dot, sigmoid
-from kgspark.operators.blocks import first_k, inner, matrix, product, scored_tiles
+from kgspark.operators.blocks import STEP, first_k, inner, matrix, product, scored_tiles
 from kgspark.operators.ranking import top_k
 
 
@@ -37,7 +37,7 @@ def all_scores(queries: DataFrame, entities: DataFrame, digits: int = 6) -> Data
     return e.join(side, F.lit(True)).select("query_id", "tail", F.round(dot("__q", "__e"), digits).alias("score"))
 
 
-def best_tails(queries: DataFrame, entities: DataFrame, k: int = 10, digits: int = 6, known: DataFrame | None = None, scores: Scores = inner, **rows: int) -> DataFrame:
+def best_tails(queries: DataFrame, entities: DataFrame, k: int = 10, digits: int = 6, known: DataFrame | None = None, scores: Scores = inner, **rows: int | str) -> DataFrame:
     """query_id, tail, score, rank: the k entities (id, vector) with the greatest score (inner product) with each query (query_id,
     vector), ties by id; without known pairs (query_id, tail), and without those of equal `group` if both tables have one.  In blocks: each
     pair of blocks reports k rows a query."""
@@ -61,7 +61,7 @@ def as_pairs(known: DataFrame | None) -> DataFrame | None:
     return known if known is None else known.select(F.col("query_id").cast("long").alias("left_id"), F.col("tail").cast("long").alias("right_id")).distinct()
 
 
-def count_ranks(queries: DataFrame, entities: DataFrame, truth: DataFrame, known: DataFrame | None = None, ties: str = "ordinal", digits: int = 6, scores: Scores = inner, **rows: int) -> DataFrame:
+def count_ranks(queries: DataFrame, entities: DataFrame, truth: DataFrame, known: DataFrame | None = None, ties: str = "ordinal", digits: int = 6, scores: Scores = inner, **rows: int | str) -> DataFrame:
     """query_id, tail, score, rank: filtered rank of the true tails (truth: query_id, tail) of each query (query_id, vector) among
     the entities (id, vector), counted inside blocks: no pair leaves its task but for the true and the known ones.  Known pairs
     (query_id, tail), and entities of the query's `group` if both tables have one, don't count.  ordinal: 1 + better ones; pessimistic: equal ones are better.  With scores that
@@ -229,15 +229,23 @@ def conv_truth(queries: DataFrame, entities: DataFrame, scorer: ConvScorer, side
 
 def head_scores(scorer: ConvScorer) -> Scores:
     """Convolutional scores of every entity as the head of (r, t): left rows have r and the vector of t.  The forward pass of a
-    block of heads runs once for each relation of the rows, inside the task."""
+    block of heads runs inside the task, and the last relation's is kept: once for a pair of blocks if the left rows of a block share
+    their relation (by="r")."""
     layers = scorer.without_entities()
+    last: dict = {"heads": None, "r": None, "z": None}
+
+    def forward(heads: np.ndarray, r: int) -> np.ndarray:
+        if last["heads"] is not heads or last["r"] != r:
+            parts = (heads[at : at + STEP] for at in range(0, len(heads), STEP))
+            z = np.concatenate([np.maximum(layers.hidden_of(x, np.broadcast_to(layers.w["relations"][r], x.shape))[1], 0) for x in parts])
+            last.update(heads=heads, r=r, z=z)
+        return last["z"]
 
     def scores(a: pa.Table, heads: np.ndarray) -> np.ndarray:
         relation, tails = a["r"].to_numpy(), matrix(a["vector"])
         out = np.empty((len(a), len(heads)))
         for r in np.unique(relation):
-            z = np.maximum(layers.hidden_of(heads, np.broadcast_to(layers.w["relations"][r], heads.shape))[1], 0)
-            out[relation == r] = tails[relation == r] @ z.T
+            out[relation == r] = tails[relation == r] @ forward(heads, r).T
         return out
 
     return scores

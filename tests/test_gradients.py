@@ -173,3 +173,26 @@ def test_layer_queries_against_the_whole_gradients(spark):
     for i, x in enumerate(test):
         want = sorted(np.abs(every[i]), reverse=True)[:10]
         assert [abs(v) for _, v in sorted(best[x[0]])] == pytest.approx(want, abs=2e-9)
+
+
+def test_a_block_of_heads_runs_forward_once(scorer, weights, monkeypatch):
+    """The rows of a left block share their relation, and all their tiles share one forward pass of the heads."""
+    import pyarrow as pa
+
+    seen = []
+    plain = ConvScorer.hidden_of
+    monkeypatch.setattr(ConvScorer, "hidden_of", lambda self, h, r: (seen.append(len(h)), plain(self, h, r))[1])
+    scores, heads = score.head_scores(scorer), weights["entities"].copy()
+    tiles = [pa.table({"r": [1, 1], "vector": weights["entities"][at : at + 2].tolist()}) for at in range(0, 6, 2)]
+    found = np.concatenate([scores(t, heads) for t in tiles])
+    assert sum(seen) == len(heads)
+    want = [scorer.score(np.arange(ENTITIES), np.full(ENTITIES, 1), np.full(ENTITIES, t)) for t in range(6)]
+    assert np.allclose(found, want)
+
+
+def test_head_ranks_in_blocks_of_one_relation(spark, scorer, entities):
+    df = spark.createDataFrame(triples(9, 40), "query_id long, h long, r long, t long")
+    known = df.select("query_id", F.pmod(F.col("query_id") * 5, F.lit(ENTITIES)).alias("tail"))
+    truth, left = score.conv_truth(df, entities, scorer, "head"), score.head_queries(df, entities)
+    ranks = [sorted(tuple(x) for x in score.count_ranks(left, entities, truth, known, scores=score.head_scores(scorer), left_rows=4, right_rows=5, **by).collect()) for by in ({}, {"by": "r"})]
+    assert len(ranks[0]) == 40 and ranks[0] == ranks[1]
