@@ -47,9 +47,17 @@ def comembership(members: DataFrame, pairs: DataFrame, key: str = "path_id") ->
     return a.join(m.withColumnRenamed("node", "disease"), [key, "disease"]).select("drug", "disease", key).distinct()
 
 
-def matrix(drugs: DataFrame, diseases: DataFrame, predicate: str) -> DataFrame:
-    """Every drug with every disease: the result itself is the product of two lists."""
-    return drugs.distinct().crossJoin(diseases.distinct()).withColumn("relation", F.lit(predicate))
+#: Rows that one task of matrix() makes, about.
+TASK_PAIRS = 4_000_000
+
+
+def matrix(drugs: DataFrame, diseases: DataFrame, predicate: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Every drug with every disease: the result itself is the product of two lists.  The drugs are dealt over as many tasks as the product asks
+    for, not as their own few rows do."""
+    a, b = drugs.distinct().persist(), diseases.distinct().persist()
+    n = a.count()
+    tasks = min(-(-n * b.count() // task_pairs), n)
+    return (a.repartition(tasks) if tasks > 1 else a).crossJoin(b).withColumn("relation", F.lit(predicate))
 
 
 def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
