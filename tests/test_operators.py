@@ -412,3 +412,24 @@ def test_paths_and_degrees_walk_through_no_hub(spark):
         for most in (1, 2, 3, 5):
             got = sorted(tuple(r["nodes"]) for r in graph.simple_paths(spark.createDataFrame(sorted(links), "head string, relation string, tail string"), spark.createDataFrame([("t", "n0", "n1"), ("u", "n2", "n5")], "test_id string, head string, tail string"), most, directed).collect())
             assert got == sorted(tuple(p) for h, t in (("n0", "n1"), ("n2", "n5")) for p in plain([h], t, most, directed))
+
+
+def test_categories_travel_as_bits(spark):
+    """A node's rows are put together, unknown categories and nodes have no bit, and a subject without a fitting category is left behind."""
+    from kgspark.operators import filters
+
+    nodes = spark.createDataFrame([("c", [filters.CHEMICAL]), ("c", [filters.GENE]), ("d", [filters.DISEASE]), ("n", ["other"]), ("z", None)], "id string, category array<string>")
+    edges = spark.createDataFrame([("c", "x", "d"), ("n", "x", "d"), ("z", "biolink:treats", "n"), ("d", "x", "gone")], "subject string, predicate string, object string")
+    typed = {r["subject"]: (r["__s"], r["__o"]) for r in filters.with_types(edges, nodes).collect()}
+    assert typed == {"c": (5, 2), "n": (0, 2), "z": (0, 0), "d": (2, 0)}
+    assert {r["subject"] for r in filters.with_types(edges, nodes, "cd").collect()} == {"c", "z", "d"}
+    assert {r["subject"] for r in filters.style_filter(edges, nodes, "cd").collect()} == {"c", "z"}
+
+
+def test_a_product_of_lists_is_dealt_over_tasks(spark):
+    from kgspark.operators import joins
+
+    a, b = spark.range(40).toDF("drug"), spark.range(30).toDF("disease")
+    made = joins.matrix(a, b, "p", task_pairs=100)
+    sizes = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 1200 and made.distinct().count() == 1200 and len(sizes) >= 8 and max(sizes) <= 200
