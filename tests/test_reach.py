@@ -65,6 +65,29 @@ def test_shortest_ways_meet_half_way(hubs):
     assert {r["test_id"]: r["length"] for r in reach.shortest(triples, once, 3, block=9).collect()} == want
 
 
+def test_words_share_rows_and_ends_share_a_pass(hubs, monkeypatch):
+    triples, tests = hubs
+    staged, stage = [], reach.stage
+    monkeypatch.setattr(reach, "stage", lambda df, name: staged.append((name, stage(df, name))) or staged[-1][1])
+    reach.proximity(triples, tests, 2, block=8)
+    frontiers = [df for name, df in staged if name == "reached"]
+    assert len(frontiers) == 3 and "links" not in {name for name, _ in staged}
+    for df in frontiers:  # 90 tests are two words
+        assert df.count() == df.select("node", "side").distinct().count()
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_shortest_ways_of_odd_length_and_words_beyond_a_row(hubs, monkeypatch, few):
+    monkeypatch.setattr(reach, "FEW", few)
+    triples, tests = hubs
+    many = tests.dropDuplicates(["test_id"]).selectExpr("explode(sequence(1, 4)) AS i", "*").selectExpr("test_id || '-' || i AS test_id", "head", "relation", "tail")
+    rows = [tuple(r) for r in many.collect()]
+    hops = plain_hops([tuple(r) for r in triples.collect()], [(r[0], r[1]) for r in rows], 3)
+    want = {r[0]: hops[r[0], r[3]] for r in rows if (r[0], r[3]) in hops}
+    assert len(rows) > reach.BITS * reach.WIDE
+    assert {r["test_id"]: r["length"] for r in reach.shortest(triples, many, 3, block=9).collect()} == want
+
+
 def test_engines_with_local_degrees_are_refused(hubs):
     with pytest.raises(ValueError):
         reach.proximity(*hubs, engine="pyg")
