@@ -196,3 +196,23 @@ def test_head_ranks_in_blocks_of_one_relation(spark, scorer, entities):
     truth, left = score.conv_truth(df, entities, scorer, "head"), score.head_queries(df, entities)
     ranks = [sorted(tuple(x) for x in score.count_ranks(left, entities, truth, known, scores=score.head_scores(scorer), left_rows=4, right_rows=5, **by).collect()) for by in ({}, {"by": "r"})]
     assert len(ranks[0]) == 40 and ranks[0] == ranks[1]
+
+
+def test_whole_product_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(influence, "TEST_ROWS", 4, raising=False)
+    monkeypatch.setattr(influence, "TRAIN_ROWS", 3, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), rng.normal(size=2).tolist()) for i in range(40)]
+    # no vector, a null component, another length, no influence at all, and rows that are alike
+    rows += [(40, None, [1.0, 2.0]), (41, [1.0, None, 2.0], [1.0, 2.0]), (42, [1.0, 2.0], [1.0, 2.0]), (43, [0.0] * 3, [-0.0] * 2), (44, *rows[0][1:]), (45, *rows[0][1:])]
+    e = spark.createDataFrame(rows, "id int, x array<float>, delta array<double>").coalesce(1)
+    test = e.filter("id % 3 = 0 OR id > 39").select(e["id"].alias("test_id"), "x", "delta")
+    train = e.select(e["id"].cast("string").alias("train_id"), "x", "delta")
+    found = influence.influences(test, train)
+    assert found.schema.simpleString() == "struct<test_id:int,train_id:string,influence:double>"
+    assert found.rdd.getNumPartitions() > 4  # it was as many as the training table has
+    pair = train.withColumnsRenamed({"x": "__x", "delta": "__d"}).crossJoin(test)
+    want = {(r["test_id"], r["train_id"]): r["v"] for r in pair.select("test_id", "train_id", influence.influence_of("__x", "__d", "x", "delta").alias("v")).collect()}
+    got = {(r["test_id"], r["train_id"]): r["influence"] for r in found.collect()}
+    assert got.keys() == want.keys() and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None} != set()
+    assert all(got[k] == pytest.approx(v, abs=6e-10) for k, v in want.items() if v is not None)
