@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import pytest
 from kgspark.operators import graph, reach
+from kgspark.plans.views import view
+from kgspark.sources.staging import buckets_joined, staged_paths
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +93,39 @@ def test_shortest_ways_of_odd_length_and_words_beyond_a_row(hubs, monkeypatch, f
 def test_engines_with_local_degrees_are_refused(hubs):
     with pytest.raises(ValueError):
         reach.proximity(*hubs, engine="pyg")
+
+
+def test_no_hop_moves_the_adjacency(hubs, monkeypatch):
+    monkeypatch.setattr(reach, "FEW", 0)
+    monkeypatch.setattr(reach, "CELL", 20)
+    monkeypatch.setattr(reach, "ENDING", 1)
+    triples, tests = hubs
+    seeds = tests.selectExpr("test_id", "head AS node")
+    spark = triples.sparkSession
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r["test_id"], r["node"]): r["hops"] for r in reach.hop_distances(triples, seeds, 3, 8).collect()}
+        links = reach.adjacency(triples, 8)
+        with buckets_joined(spark):
+            sent = links.blocks.select("cell", "a", "part").join(links.blocks.select("cell", "a", "part", "neighbours"), ["cell", "a", "part"])
+            assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == plain_hops([tuple(r) for r in triples.collect()], [tuple(r) for r in seeds.collect()], 3)
+    assert links.crowded.count() and links.blocks.select("cell").distinct().count() > 3
+
+
+def test_nothing_stays_on_disk_but_the_result(hubs):
+    triples, tests = hubs
+    spark = triples.sparkSession
+    before, tables = set(staged_paths(spark)), spark.catalog.listTables()
+    reach.hop_distances(triples, tests.selectExpr("test_id", "head AS node"), 2, 8)
+    left = {p.rsplit("/", 1)[-1].split("-")[0] for p in set(staged_paths(spark)) - before}
+    assert left == {"tests", "reached"} and spark.catalog.listTables() == tables
+
+
+def test_links_are_the_pairs_of_all_triples(spark):
+    links, triples = (view(spark, "/root/testdata/sf0.001", name) for name in ("all_links", "all_triples"))
+    assert links.columns == ["head", "tail"] and "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in links.collect()} == {tuple(r) for r in triples.select("head", "tail").collect()}
