@@ -8,7 +8,7 @@ sketched() gives the same inner products in expectation from a fixed number of v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,25 +104,49 @@ def check(layers: tuple[str, ...]) -> None:
         raise ValueError("no layer is chosen")
 
 
+def made_in_parts(rows: pa.Table, scorer: ConvScorer, make, label: float) -> dict[str, np.ndarray]:
+    """make(gradients of up to 1,000 rows, h, r, t) -> columns, over rows (h, r, t, __hv, __tv)."""
+    made = []
+    for at in range(0, max(len(rows), 1), 1000):
+        part = rows.slice(at, 1000)
+        h, r, t = (part[c].to_numpy() for c in "hrt")
+        made.append(make(row_gradients(scorer, matrix(part["__hv"]), scorer.w["relations"][r], matrix(part["__tv"]), label), h, r, t))
+    return {c: np.concatenate([x[c] for x in made]) for c in made[0]}
+
+
+def arrow(column: np.ndarray) -> pa.Array:
+    return pa.array(column) if column.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(column).ravel()), column.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def inputs_of(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    return with_vectors(triples, entities).select(*(F.col(c).cast("long").alias(c) for c in ("id", "h", "r", "t")), "__hv", "__tv")
+
+
 def in_batches(triples: DataFrame, entities: DataFrame, scorer: ConvScorer, make, ddl: str, label: float) -> DataFrame:
     """make(gradients of a batch, h, r, t) -> columns, over triples (id, h, r, t), in batches of 1,000 rows."""
     sent = triples.sparkSession.sparkContext.broadcast(scorer.without_entities())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = pa.Table.from_batches([batch.slice(at, 1000)])
-                h, r, t = (part[c].to_numpy() for c in "hrt")
-                found = row_gradients(s, matrix(part["__hv"]), s.w["relations"][r], matrix(part["__tv"]), label)
-                made = make(found, h, r, t)
-                yield pa.RecordBatch.from_arrays(
-                    [part["id"].combine_chunks(), *(pa.array(c) if c.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(c).ravel()), c.shape[1]).cast(pa.list_(pa.float64())) for c in made.values())],
-                    names=["id", *made],
-                )
-
-    rows = with_vectors(triples, entities).select(*(F.col(c).cast("long").alias(c) for c in ("id", "h", "r", "t")), "__hv", "__tv")
-    return rows.mapInArrow(run, ddl)
+                made = made_in_parts(part, sent.value, make, label)
+                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), *map(arrow, made.values())], names=["id", *made])
+
+    return inputs_of(triples, entities).mapInArrow(run, ddl)
+
+
+def late_gradients(triples: DataFrame, scorer: ConvScorer, layers: tuple[str, ...] = last_layers(), label: float = 1.0) -> Callable[[pa.Table], pa.Table]:
+    """What makes of a block of rows of inputs_of() the rows of gradients(): the passes run again in each task that takes the block, but what
+    is sent there is two vectors a row, not a gradient many times as long."""
+    check(layers)
+    sent = triples.sparkSession.sparkContext.broadcast(scorer.without_entities())
+
+    def made(rows: pa.Table) -> pa.Table:
+        found = made_in_parts(rows, sent.value, lambda found, h, r, t: columns_of(found, h, r, t, layers), label)
+        return pa.table([rows["id"], *map(arrow, found.values())], names=["id", *found])
+
+    return made
 
 
 def gradients(triples: DataFrame, entities: DataFrame, scorer: ConvScorer, layers: tuple[str, ...] = last_layers(), label: float = 1.0) -> DataFrame:

@@ -216,3 +216,20 @@ def test_whole_product_in_blocks(spark, monkeypatch):
     got = {(r["test_id"], r["train_id"]): r["influence"] for r in found.collect()}
     assert got.keys() == want.keys() and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None} != set()
     assert all(got[k] == pytest.approx(v, abs=6e-10) for k, v in want.items() if v is not None)
+
+
+@pytest.mark.parametrize("layers", [gradients.LAYERS, gradients.last_layers(), ("relations",)])
+def test_gradients_made_where_they_are_used(spark, scorer, entities, layers):
+    ddl = "id long, h long, r long, t long"
+    a, b = spark.createDataFrame(triples(3, 5), ddl), spark.createDataFrame(triples(4, 7, 100), ddl)
+    sizes = {"left_rows": 2, "right_rows": 3}
+    want = influence.best_influences(*(gradients.gradients(x, entities, scorer, layers) for x in (a, b)), 4, **sizes)
+    got = influence.best_influences(*(gradients.inputs_of(x, entities) for x in (a, b)), 4, late=gradients.late_gradients(a, scorer, layers), **sizes)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 20
+
+
+def test_layer_influence_sends_vectors_and_no_gradients(spark):
+    from kgspark.plans.queries import QUERIES
+
+    sent = QUERIES["layer_influence_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in sent and "grad_" not in sent and "MapInArrow" not in sent
